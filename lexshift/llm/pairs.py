@@ -1,7 +1,7 @@
 """Problem 3: items that appear together, and how much more often than chance.
 
 Every basket is deduplicated and sorted, its ordered pairs are emitted as a stream, and Spark combines their counts on
-the map side before the shuffle. Lift and pointwise mutual information follow from the marginals. Items that cannot be
+the map side before the shuffle; in pairs, items are numbers. Lift and pointwise mutual information follow from the marginals. Items that cannot be
 in a wanted pair are left out before pairs are made; the bound is exact, so no wanted pair is lost.
 """
 
@@ -28,21 +28,19 @@ def item_pairs(df: DataFrame, items: str, min_both: int = MIN_BOTH, min_lift: in
     n = baskets.count()
     single = baskets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
     useful = single.where((F.col("n") >= min_both) & (F.col("n") * min_lift <= n))
-    kept = _kept(baskets, useful) if min_both > 1 or min_lift > 0 else baskets
-    first = kept.select("items", F.posexplode("items").alias("at", "item_a"))
-    pairs = first.select("item_a", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("item_b"))
-    both = pairs.groupBy("item_a", "item_b").agg(F.count("*").alias("n_ab")).where(F.col("n_ab") >= min_both)
-    a, b = (single.select(F.col("item").alias(f"item_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    out = both.join(a, "item_a").join(b, "item_b").where(F.col("n_ab") * n >= min_lift * F.col("n_a") * F.col("n_b"))
-    lift = F.col("n_ab") * F.lit(float(n)) / (F.col("n_a") * F.col("n_b"))
-    return out.select("item_a", "item_b", "n_ab", "n_a", "n_b", F.lit(n).cast("bigint").alias("n"), lift.alias("lift"), F.log2(lift).alias("pmi"))
-
-
-def _kept(baskets: DataFrame, useful: DataFrame) -> DataFrame:
-    """The baskets, with only the useful items. Items are looked up after the explode, in a join that Spark plans."""
+    numbered = cut(useful.select("item", "n", F.monotonically_increasing_id().alias("num")))  # written, so that a number stays an item's
     keyed = baskets.select(F.monotonically_increasing_id().alias("basket"), "items")  # of written rows, so the same when a task is repeated
-    long = keyed.select(F.explode("items").alias("item"), "basket").join(useful.select("item"), "item", "left_semi")
-    return long.groupBy("basket").agg(F.array_sort(F.collect_list("item")).alias("items")).where("size(items) > 1").select("items")
+    long = keyed.select("basket", F.explode("items").alias("item")).join(numbered.select("item", "num"), "item").select("basket", "num")
+    kept = long.groupBy("basket").agg(F.array_sort(F.collect_list("num")).alias("nums")).where("size(nums) > 1").select("nums")
+    first = kept.select("nums", F.posexplode("nums").alias("at", "num_a"))
+    pairs = first.select("num_a", F.explode(F.slice("nums", F.col("at") + 2, F.size("nums"))).alias("num_b"))
+    both = pairs.groupBy("num_a", "num_b").agg(F.count("*").alias("n_ab")).where(F.col("n_ab") >= min_both)
+    a, b = (numbered.select(F.col("num").alias(f"num_{x}"), F.struct("item", "n").alias(x)) for x in "ab")
+    out = both.join(a, "num_a").join(b, "num_b").where(F.col("n_ab") * n >= min_lift * F.col("a.n") * F.col("b.n"))
+    out = out.select("n_ab", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))  # in the order of the items
+    out = out.select(F.col("a.item").alias("item_a"), F.col("b.item").alias("item_b"), "n_ab", F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"), F.lit(n).cast("bigint").alias("n"))
+    lift = F.col("n_ab") * F.lit(float(n)) / (F.col("n_a") * F.col("n_b"))
+    return out.withColumn("lift", lift).withColumn("pmi", F.log2(lift))
 
 
 def found(substitutes: DataFrame) -> DataFrame:
