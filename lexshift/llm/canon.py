@@ -80,7 +80,8 @@ class _Tables:
                 unstable.append(p)
         self.to["\t"] = " "
         self.table = str.maketrans(self.to)
-        self.unstable = re.compile(f"[{_class(unstable)}]+")
+        # beyond the basic plane every character is looked at: one range there keeps the test of a character fast
+        self.unstable = re.compile(f"[{_class([p for p in unstable if p < 0x10000])}\\U00010000-\\U0010ffff]+")
         self.uneven = re.compile(r"[\t\v\f\r]| [ \n]|\n |\A\s|\s\Z")
         self.breaks, self.blanks = re.compile(r"\r\n?|\v|\f"), re.compile(r"[ \t]+")
         self.around = re.compile(r" ?\n ?")
