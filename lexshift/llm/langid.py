@@ -94,11 +94,20 @@ class Model:
         fits = [fitted(x, fam == a, fam == b) for a, b in self.contests[: self.split]] + [fitted(x, own == a, own == b) for a, b in self.contests[self.split :]]
         self.weights, self.scale = np.stack([w for w, _ in fits], 1), np.array([s for _, s in fits])
 
-    def score(self, word: str) -> np.ndarray:
-        """The word's share in each contest's decision."""
-        fs = features(word)
-        rows = [i for f in fs if (i := self.column.get(f)) is not None]
-        return self.weights[rows].sum(0) / np.sqrt(len(fs)) + 0.1 * self.weights[-1]
+    def scores(self, words: list[str]) -> np.ndarray:
+        """The words' shares in each contest's decision, a row a word."""
+        get = self.column.get
+        sizes, rows, owner = [], [], []
+        for n, w in enumerate(words):
+            fs = features(w)
+            own = [i for f in fs if (i := get(f)) is not None]
+            sizes.append(len(fs))
+            rows += own
+            owner += [n] * len(own)
+        out = np.zeros((len(words), len(self.contests)))
+        for k in range(len(self.contests)):
+            out[:, k] = np.bincount(np.array(owner, np.int64), self.weights[np.array(rows, np.int64), k], len(words))
+        return out / np.sqrt(np.array(sizes, float).reshape(-1, 1)) + 0.1 * self.weights[-1]
 
     def logs(self, means: np.ndarray) -> np.ndarray:
         """Log confidences by language, from mean scores (any shape, contests last)."""
@@ -153,13 +162,14 @@ class Detector:
         self.seen: dict[str, int] = {}
         self.scores = np.zeros((1024, len(model.contests)))
 
-    def number(self, word: str) -> int:
+    def learn(self, words: set[str]) -> None:
+        """Score words not seen before, all at once."""
+        new = [w for w in words if w not in self.seen]
         n = len(self.seen)
-        if n == len(self.scores):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.scores[n] = self.model.score(word)
-        self.seen[word] = n
-        return n
+        if n + len(new) > len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros((n + 2 * len(new), self.scores.shape[1]))])
+        self.scores[n : n + len(new)] = self.model.scores(new)
+        self.seen.update(zip(new, range(n, n + len(new)), strict=True))
 
     def segments(self, texts: list[str | None]) -> list[list[tuple[int, int, str, float]]]:
         """Of each text its stretches: first word, words, language, confidence. Texts without running words have none."""
@@ -167,14 +177,11 @@ class Detector:
             self.seen.clear()
         m = self.model
         out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
-        docs: list[tuple[int, np.ndarray]] = []
-        get = self.seen.get
-        for i, t in enumerate(texts):
-            ws = running_words(t)
-            if len(ws) >= MIN_WORDS:
-                docs.append((i, np.array([n if (n := get(w)) is not None else self.number(w) for w in ws])))
-        if not docs:
+        split = [(i, ws) for i, t in enumerate(texts) if len(ws := running_words(t)) >= MIN_WORDS]
+        if not split:
             return out
+        self.learn({w for _, ws in split for w in ws})
+        docs = [(i, np.fromiter(map(self.seen.__getitem__, ws), np.int64, len(ws))) for i, ws in split]
         sums = np.concatenate([np.zeros((1, len(m.contests))), np.cumsum(self.scores[np.concatenate([d for _, d in docs])], 0)])
         starts = np.cumsum([0, *(len(d) for _, d in docs)])
         whole = m.logs((sums[starts[1:]] - sums[starts[:-1]]) / np.diff(starts)[:, None])
