@@ -25,7 +25,7 @@ def decade_files(spark: SparkSession, folder: str, decades: list[int]) -> DataFr
 
     A file name that has not three parts raises when read. Each row is a part of a file between removed words.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text([f"{folder}/{d}s" for d in decades]).select("value", F.col("_metadata.file_path").alias("path"))
+    files = spark.read.option("recursiveFileLookup", True).text([f"{folder}/{d}s" for d in decades], wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.txt$", "")
     parts = F.split(name, "_")
     checked = F.when(F.size(parts) == 3, parts).otherwise(F.raise_error(F.concat(F.lit("a file name needs three parts: "), name)))
@@ -40,7 +40,7 @@ def numbered_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
 
     A gzipped file is read by one task in order. Longer inputs should come as documents with ids of their own.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", r"\n\z", "").alias("value"))
+    lines = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\n\z", "").alias("value"))
     rows = lines.select(F.posexplode(F.split("value", "\n")).alias("n", "text"))
     return rows.select(F.concat(F.lit(name + "_"), F.lpad(F.col("n").cast("string"), 8, "0")).alias("id"), X.collapse_hashes(X.strip(F.col("text"))).alias("text"), F.lit(name).alias("source"))
 
@@ -87,7 +87,7 @@ def stopwords_of(table: DataFrame, lang: str | None) -> DataFrame:
 
 def term_index(spark: SparkSession, path: str) -> DataFrame:
     """``term, id, pos`` of a JSON map from term to [id, position] pairs, in one file."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     entries = F.explode(F.from_json("value", "map<string,array<string>>")).alias("term", "pairs")
     pair = F.from_json("p", "array<string>")
     return raw.select(entries).select("term", F.explode("pairs").alias("p")).select("term", F.get(pair, F.lit(0)).alias("id"), F.get(pair, F.lit(1)).cast("int").alias("pos"))
