@@ -12,6 +12,8 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexshift.workdir import cut
+
 
 class SubstituteModel(Protocol):
     """Anything that ranks substitutes for contexts."""
@@ -33,7 +35,7 @@ def filtered(top_terms: Column, top_k: int, stopwords: list[str]) -> Column:
 
 @dataclass(frozen=True)
 class BigramModel:
-    """Neighbour counts: ``after`` and ``before`` hold for each word its ``width`` most frequent neighbours as one array.
+    """Neighbour counts: ``after`` and ``before`` hold for each word its ``width`` most frequent neighbours as one map.
 
     The tables have a row per word, so looking up a context is two equi-joins on words; scoring happens inside the row.
     """
@@ -44,27 +46,27 @@ class BigramModel:
     @classmethod
     def fit(cls, beside: DataFrame, counts: DataFrame, stopwords: DataFrame, width: int = 30) -> BigramModel:
         """From tokens with neighbours (``term, l``) and their counts (``term, n``)."""
-        pairs = bigrams(beside)
+        pairs = cut(bigrams(beside))  # counted once, read for both sides
         fit = counts.where(acceptable(F.col("term"))).join(stopwords.select(F.col("word").alias("term")).distinct(), "term", "left_anti").select(F.col("term").alias("c"), F.col("n").alias("n_c"))
 
         def side(given: str, other: str) -> DataFrame:
             rows = pairs.select(F.col(given).alias("given"), F.col(other).alias("c"), "n").join(fit, "c")
             turn = F.row_number().over(Window.partitionBy("given").orderBy(F.desc("n"), "c"))
             few = rows.withColumn("turn", turn).where(F.col("turn") <= width)
-            return few.groupBy(F.col("given").alias(given)).agg(F.collect_list(F.struct("c", "n", "n_c")).alias("near"))
+            return few.groupBy(F.col("given").alias(given)).agg(F.map_from_entries(F.collect_list(F.struct("c", F.struct("n", "n_c")))).alias("near"))
 
         return cls(side("l", "r").withColumnRenamed("near", "after"), side("r", "l").withColumnRenamed("near", "before"))
 
     def substitutes(self, contexts: DataFrame, top_k: int = 5) -> DataFrame:
-        none = F.array().cast("array<struct<c:string,n:bigint,n_c:bigint>>")
+        none = F.create_map().cast("map<string,struct<n:bigint,n_c:bigint>>")
         both = contexts.join(self.after, "l", "left").join(self.before, "r", "left").select(*contexts.columns, F.coalesce("after", none).alias("after"), F.coalesce("before", none).alias("before"))
-        known = both.withColumn("n_after", F.map_from_entries(F.transform("after", lambda x: F.struct(x["c"], x["n"])))).withColumn("n_before", F.map_from_entries(F.transform("before", lambda x: F.struct(x["c"], x["n"]))))
-        one = lambda x, la, be: F.struct((-((la + 1) * (be + 1) / x["n_c"])).alias("cost"), x["c"].alias("c"))
+        one = lambda e, la, be: F.struct((-((la + 1) * (be + 1) / e["value"]["n_c"])).alias("cost"), e["key"].alias("c"))
         zero = F.lit(0).cast("bigint")
-        by_left = F.transform("after", lambda x: one(x, x["n"], F.coalesce(F.try_element_at("n_before", x["c"]), zero)))
-        by_right = F.transform(F.filter("before", lambda x: ~F.map_contains_key("n_after", x["c"])), lambda x: one(x, zero, x["n"]))
-        ranked = F.slice(F.array_sort(F.concat(by_left, by_right)), 1, top_k)
-        return known.select(*contexts.columns, F.transform(ranked, lambda x: x["c"]).alias("top_terms"))
+        by_left = F.transform(F.map_entries("after"), lambda e: one(e, e["value"]["n"], F.coalesce(F.try_element_at("before", e["key"])["n"], zero)))
+        by_right = F.transform(F.filter(F.map_entries("before"), lambda e: F.try_element_at("after", e["key"]).isNull()), lambda e: one(e, zero, e["value"]["n"]))
+        # sort_array orders the structs natively; a comparator would be interpreted
+        ranked = F.slice(F.sort_array(F.concat(by_left, by_right)), 1, top_k)
+        return both.select(*contexts.columns, F.transform(ranked, lambda x: x["c"]).alias("top_terms"))
 
 
 def bigrams(beside: DataFrame) -> DataFrame:
@@ -81,7 +83,7 @@ def substitutes(found: DataFrame, model: SubstituteModel, top_k: int = 5) -> Dat
 
 def context_histogram(found: DataFrame, model: SubstituteModel, top_k: int = 5) -> DataFrame:
     """``term, corpus, sub, n`` without a row per mention: mentions are counted by context before their substitutes are looked up."""
-    n = found.groupBy("term", "corpus", "l", "r").agg(F.count("*").alias("k"))
+    n = cut(found.groupBy("term", "corpus", "l", "r").agg(F.count("*").alias("k")))
     scored = model.substitutes(n.select("l", "r").distinct(), top_k).select(F.col("l").alias("l2"), F.col("r").alias("r2"), "top_terms")
     rows = n.join(scored, F.col("l").eqNullSafe(F.col("l2")) & F.col("r").eqNullSafe(F.col("r2")))
     return rows.select("term", "corpus", F.explode("top_terms").alias("sub"), "k").groupBy("term", "corpus", "sub").agg(F.sum("k").alias("n"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexshift.operators import context, index, score
 from lexshift.operators.substitutes import BigramModel, SubstituteModel, context_histogram
+from lexshift.workdir import cut
 
 
 @dataclass(frozen=True)
@@ -28,12 +29,13 @@ class Config:
 def lexical_change(docs: DataFrame, stopwords: DataFrame, config: Config, targets: DataFrame | None = None, model: SubstituteModel | None = None) -> DataFrame:
     """``term, n, jsd, neighbours, scaled_jsd`` of the valid terms, and of the targets if given, of ``id, corpus, tokens``."""
     beside = context.neighbours(docs)
-    counts = index.term_counts_by_corpus(beside.select("term", "corpus"), config.halves)
+    counts = cut(index.term_counts_by_corpus(beside.select("term", "corpus"), config.halves))  # a row a term, read several times
     valid = index.valid_terms(counts, config.min_count, config.min_per_corpus)
     wanted = index.union_terms(valid, targets) if targets is not None else valid
     found = index.capped(index.mentions(beside, wanted), config.cap, config.seed)
     ranked = model or BigramModel.fit(beside, counts, stopwords)
-    jsd = score.jensen_shannon(context_histogram(found, ranked, config.top_k), config.halves, config.require_both)
+    hist = cut(context_histogram(found, ranked, config.top_k))  # read twice; made once
+    jsd = score.jensen_shannon(hist, config.halves, config.require_both)
     return score.scaled(counts.join(jsd, "term").select("term", "n", "jsd"), config.factor)
 
 

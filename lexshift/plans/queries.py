@@ -13,6 +13,7 @@ from lexshift.operators import substitutes as model
 from lexshift.plans.pipeline import Config, change_of, lexical_change
 from lexshift.sources import readers, sinks
 from lexshift.tables import one_per_key, table
+from lexshift.workdir import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 HALVES = ("post1970s", "pre1980s")
@@ -336,8 +337,8 @@ def bigram_model(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT m.term, m.id, m.corpus, m.pos, string_agg(s.sub, ' ' ORDER BY s.rank) AS top_terms FROM mentions m LEFT JOIN ranked s ON s.l IS NOT DISTINCT FROM m.l AND s.r IS NOT DISTINCT FROM m.r GROUP BY ALL", "mentions", "ranked")
 def substitutes_topk(spark: SparkSession, folder: str) -> DataFrame:
     beside = context.neighbours(_docs(spark, folder))
-    counts = index.term_counts_by_corpus(beside, HALVES)
-    found = index.capped(index.mentions(beside, index.valid_terms(counts)))
+    counts = cut(index.term_counts_by_corpus(beside, HALVES))
+    found = cut(index.capped(index.mentions(beside, index.valid_terms(counts))))
     rows = model.substitutes(found, model.BigramModel.fit(beside, counts, _stopwords(spark, folder)))
     return rows.select("term", "id", "corpus", "pos", F.when(F.size("top_terms") > 0, F.array_join("top_terms", " ")).alias("top_terms"))
 
