@@ -27,8 +27,10 @@ from lexshift.llm.canon import canonical
 MAX_SAMPLES, MAX_SAMPLE_CHARS = 5000, 5000
 #: Running words from which on a stretch in another language counts, and that a document must have.
 MIN_STRETCH, MIN_WORDS = 8, 2
-#: Cost of a change of language between two words, in nats; n-gram lengths; words kept scored by a task.
-SWITCH, TEMPER, NGRAMS, CACHE = 6.0, 0.25, (1, 2, 3, 4), 400_000
+#: Cost of a change of language, in nats, between two words of a sentence and between sentences, and how much a word's score weighs against it.
+SWITCH, SWITCH_AT_END, TEMPER = 9.0, 5.0, 0.25
+#: n-gram lengths; words kept scored by a task.
+NGRAMS, CACHE = (1, 2, 3, 4), 400_000
 #: The families. A language that is not named is a family of its own.
 FAMILIES = {"eng": "germanic", "ger": "germanic", "swe": "germanic", "lat": "italic"}
 #: How labels spell the languages, in lower case without blanks around.
@@ -42,17 +44,32 @@ SPELLINGS = {
 _NOISE = re.compile(r"<[^<>\n]{0,200}>|&[a-z]{2,6};|https?://\S+")
 _BROKEN = re.compile(r"(?<=\w)[-¬] ?\n+(?=\w)")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+_END = re.compile(r"[.!?;:\"“”„«»()\[\]…]|\n\n")
 PLAIN = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "å": "aa", "ß": "ss", "æ": "ae", "ø": "oe"})
 
 
-def running_words(text: str | None) -> list[str]:
-    """The words of a text in lower case, without markup and figures; words broken at a line's end are joined."""
+def cleaned(text: str | None) -> str:
+    """A text in lower case, levelled, without markup; words broken at a line's end are joined."""
     text = canonical(text) or ""
     if "<" in text or "&" in text or "http" in text:
         text = _NOISE.sub(" ", text)
     if "\n" in text:
         text = _BROKEN.sub("", text)
-    return _WORD.findall(text.lower())
+    return text.lower()
+
+
+def running_words(text: str | None) -> list[str]:
+    """The words of a text, without figures."""
+    return _WORD.findall(cleaned(text))
+
+
+def starts_of_sentences(text: str | None) -> np.ndarray:
+    """Of each running word, whether the end of a sentence, a quotation or a paragraph stands before it."""
+    plain, last, out = cleaned(text), 0, []
+    for m in _WORD.finditer(plain):
+        out.append(_END.search(plain, last, m.start()) is not None)
+        last = m.end()
+    return np.array(out, bool)
 
 
 def features(word: str) -> list[str]:
@@ -201,7 +218,8 @@ class Detector:
                 out[i] = [(0, len(d), m.langs[main[n]], float(np.exp(whole[n, main[n]])))]
         found: list[tuple[int, int, int, int]] = []
         for group in _groups([(n, docs[n][1]) for n in np.flatnonzero(mixed)]):
-            for n, path in zip((n for n, _ in group), self.paths([d for _, d in group]), strict=True):
+            ends = [starts_of_sentences(texts[docs[n][0]]) for n, _ in group]
+            for n, path in zip((n for n, _ in group), self.paths([d for _, d in group], ends), strict=True):
                 found += [(n, a, b, x) for a, b, x in stretches(path, MIN_STRETCH)]
         if found:
             n, a, b, x = np.array(found).T
@@ -210,20 +228,21 @@ class Detector:
                 out[docs[n_][0]].append((a_, b_ - a_, m.langs[x_], s_))
         return out
 
-    def paths(self, docs: list[np.ndarray]) -> list[np.ndarray]:
-        """The best languages by word of several texts at once, a change costing SWITCH."""
+    def paths(self, docs: list[np.ndarray], ends: list[np.ndarray]) -> list[np.ndarray]:
+        """The best languages by word of several texts at once, a change costing less where ``ends`` says that a sentence begins."""
         longest, k = max(map(len, docs)), len(self.model.langs)
-        emit = np.zeros((longest, len(docs), k))
+        emit, cost = np.zeros((longest, len(docs), k)), np.full((longest, len(docs)), SWITCH)
         used, again = np.unique(np.concatenate(docs), return_inverse=True)
         by_word, at = self.model.logs(self.scores[used] * TEMPER), 0
         for n, d in enumerate(docs):
             emit[: len(d), n] = by_word[again[at : at + len(d)]]
+            cost[: len(d), n] = np.where(ends[n], SWITCH_AT_END, SWITCH)
             at += len(d)
         best, back = emit[0], np.zeros(emit.shape, np.int8)
         stay = np.arange(k)
         for t in range(1, longest):
             top = best.argmax(1)
-            change = best[np.arange(len(docs)), top][:, None] - SWITCH
+            change = (best[np.arange(len(docs)), top] - cost[t])[:, None]
             back[t] = np.where(best >= change, stay, top[:, None])
             best = np.maximum(best, change) + emit[t]
         # a text that has ended goes on with nothing to emit, so its path stays as it is
