@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexshift.workdir import cut
+
 # Letters of other scripts and the Latin letters they look like, in order of code points.
 LOOK_ALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
@@ -141,12 +143,14 @@ def same_looking_pairs(df: DataFrame, id_field: str, field: str) -> DataFrame:
     """Pairs of different ids whose strings differ but look the same: ``id_a < id_b``.
 
     Repeated rows of one id and string count once. Rows whose id or string is NULL, or whose canonical form is empty,
-    make no pair. Groups are found by a 64-bit hash of the canonical form, pre-aggregated on the map side to those that
-    hold two different strings; only the rows of these are paired, and the canonical forms are compared, not the hashes.
+    make no pair. Every string is normalised once and goes on as hashes only (64 bits to group by, 128 more to be sure),
+    written to the shared folder. Pre-aggregation on the map side finds the groups that hold two different strings; only
+    the rows of these are paired.
     """
     rows = df.select(F.col(f"`{id_field}`").alias("id"), F.col(f"`{field}`").alias("stored")).where("id IS NOT NULL AND stored IS NOT NULL")
-    forms = with_canonical(rows, "stored").where("canonical <> ''").select("id", F.xxhash64("canonical").alias("key"), F.xxhash64("stored").alias("exact"), "canonical")
+    some = with_canonical(rows, "stored").where("canonical <> ''")
+    forms = cut(some.select("id", F.xxhash64("canonical").alias("key"), F.md5("canonical").alias("form"), F.xxhash64("stored").alias("exact")))
     mixed = forms.groupBy("key").agg(F.min("exact").alias("low"), F.max("exact").alias("high")).where("low <> high").select("key")
-    some = forms.join(mixed, "key", "left_semi").dropDuplicates(["key", "id", "exact"])
-    a, b = (some.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "exact", "canonical"))) for x in "ab")
-    return a.join(b, "key").where("id_a < id_b AND exact_a <> exact_b AND canonical_a = canonical_b").select("id_a", "id_b").distinct()
+    few = forms.join(mixed, "key", "left_semi").dropDuplicates(["key", "id", "exact"])
+    a, b = (few.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "exact", "form"))) for x in "ab")
+    return a.join(b, "key").where("id_a < id_b AND exact_a <> exact_b AND form_a = form_b").select("id_a", "id_b").distinct()
