@@ -58,7 +58,7 @@ def background(valid: DataFrame, targets: DataFrame, most: int, seed: int = 42)
 def stratified(counts: DataFrame, most: int, seed: int = 42) -> DataFrame:
     """At most ``most`` terms, spread over counts: in each round one term of every count, counts and terms in hash order."""
     turn = F.row_number().over(Window.partitionBy("n").orderBy(_hash(seed, "term"), "term"))
-    ranked = counts.select("term", "n", turn.alias("round"))
+    ranked = counts.select("term", "n", turn.alias("round")).where(F.col("round") <= most)  # later rounds are out of reach; lets Spark limit each group early
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("round").cast("string"), F.col("n").cast("string")))
     return ranked.orderBy("round", order, "n").limit(most)
 

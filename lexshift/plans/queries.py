@@ -517,7 +517,7 @@ def alignment_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def align_documents(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _word_lines(spark, folder).select("id", "t", "l", align.align(F.col("t"), F.col("l")).alias("alignment"))
+    rows = cut(_word_lines(spark, folder).select("id", "t", "l", align.align(F.col("t"), F.col("l")).alias("alignment")))  # aligned once
     return align.scores(rows).join(rows.select("id", F.to_json("alignment").alias("alignment")), "id")
 
 
