@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -100,6 +102,39 @@ def regex_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
+def wordpiece(c: Column, vocabulary: str, unknown: str = "[UNK]", longest: int = 100) -> Column:
+    """Word pieces of the default tokens, from a file with one piece a line: at each place the longest piece known.
+
+    A word that cannot be covered, or is longer than ``longest``, is one unknown piece. The file must be readable by
+    all executors; it is read once a process.
+    """
+
+    @F.pandas_udf("array<string>")
+    def run(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = _vocabulary(vocabulary)
+
+        def cover(word: str) -> list[str]:
+            out, at = [], 0
+            while at < len(word) <= longest:
+                end = next((e for e in range(len(word), at, -1) if ("##" if at else "") + word[at:e] in known), None)
+                if end is None:
+                    return [unknown]
+                out.append(("##" if at else "") + word[at:end])
+                at = end
+            return out or [unknown]
+
+        for s in lists:
+            yield s.map(lambda ws: [p for w in ws for p in cover(w)], na_action="ignore")
+
+    return run(regex_tokens(c))
+
+
+@lru_cache(maxsize=4)
+def _vocabulary(path: str) -> frozenset[str]:
+    with open(path, encoding="utf-8") as f:
+        return frozenset(line.rstrip("\n") for line in f)
+
+
 def pieces(tokens: Column) -> Column:
     """Word pieces of marked tokens, each continuation with its mark."""
     return F.flatten(F.transform(tokens, lambda t: F.split(F.replace(t, F.lit("##"), F.lit(" ##")), " ")))

@@ -125,9 +125,18 @@ def phrase_mentions(docs: DataFrame, phrases: list[str]) -> DataFrame:
     return rows.select("id", "corpus", F.aggregate(F.slice("sizes", 1, F.col("at")), F.lit(0), lambda a, b: a + b).alias("pos"), F.size(F.split("term", " ")).alias("words"), "term")
 
 
-def lemma_positions(lines: DataFrame, targets: DataFrame, lemmas: str = "lemmas") -> DataFrame:
-    """``term, id, pos``: where targets stand in blank-separated lemma lines, after addresses are dropped."""
+def enough_mentions(found: DataFrame, least: int = 2) -> DataFrame:
+    """The mentions of terms that have ``least`` of them; 1 keeps single ones too."""
+    return found.join(term_counts(found).where(F.col("n") >= least).select("term"), "term", "left_semi") if least > 1 else found
+
+
+def lemma_positions(lines: DataFrame, targets: DataFrame, lemmas: str = "lemmas", without_pos: bool = False) -> DataFrame:
+    """``term, id, pos``: where targets stand in blank-separated lemma lines, after addresses are dropped.
+
+    without_pos: words are compared without their part of speech, as the second English index does.
+    """
     words = X.without_prefix(X.blank_tokens(F.col(lemmas)), "http")
+    words = F.transform(words, X.before_underscore) if without_pos else words
     rows = lines.select("id", F.posexplode(words).alias("pos", "term"))
     return rows.join(targets.select("term").distinct(), "term", "left_semi")
 

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexshift.workdir import cut
@@ -106,3 +106,11 @@ def mention_counts(subs: DataFrame, halves: tuple[str, str]) -> DataFrame:
     """``term, count_a, count_b``: the mentions behind a score."""
     a, b = halves
     return subs.groupBy("term").agg(F.count_if(F.col("corpus") == a).alias("count_a"), F.count_if(F.col("corpus") == b).alias("count_b"))
+
+
+def diagnostics(scores: DataFrame, most: int = 15) -> DataFrame:
+    """``kind, rank, term, n, neighbours``: the rarest terms, and those with the fewest and the most neighbours."""
+    known = scores.where("neighbours IS NOT NULL").select("term", "n", "neighbours")
+    kinds = [("rarest", F.asc("n")), ("fewest_neighbours", F.asc("neighbours")), ("most_neighbours", F.desc("neighbours"))]
+    parts = [known.orderBy(order, "term").limit(most).select(F.lit(kind).alias("kind"), F.row_number().over(Window.orderBy(order, "term")).alias("rank"), "term", "n", "neighbours") for kind, order in kinds]
+    return parts[0].union(parts[1]).union(parts[2])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexshift.functions import text as X
-from lexshift.operators import align, cluster, context, corpus, evaluate, index, replacements, score
+from lexshift.operators import align, cluster, context, corpus, evaluate, index, lemmas, replacements, score
 from lexshift.operators import substitutes as model
 from lexshift.plans.pipeline import Config, change_of, lexical_change
 from lexshift.sources import readers, sinks
@@ -571,6 +571,50 @@ def rewritten_targets(spark: SparkSession, folder: str) -> DataFrame:
     return _targets(spark, folder).select("term", X.rename_pos(tagged).alias("renamed"), X.drop_pos(tagged).alias("dropped"), X.before_underscore(tagged).alias("word"))
 
 
+TABLES |= {
+    "lexicon": "SELECT token, lemma FROM (SELECT token, lemma, row_number() OVER (PARTITION BY token ORDER BY count(*) DESC, lemma) AS t FROM aligned WHERE lang = 'eng' AND token IS NOT NULL GROUP BY token, lemma) WHERE t = 1",
+}
+
+
+def _lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    return lemmas.lexicon(align.aligned_words(_lines(spark, folder)).where("lang = 'eng'"))
+
+
+@query("SELECT token, lemma FROM lexicon", "lexicon")
+def lemma_lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    return _lexicon(spark, folder).select("token", "lemma")
+
+
+@query("SELECT w.id, string_agg(coalesce(x.lemma, w.term), ' ' ORDER BY w.pos) AS lemmas FROM words w LEFT JOIN lexicon x ON x.token = w.term GROUP BY w.id", "words", "lexicon")
+def lemmatize(spark: SparkSession, folder: str) -> DataFrame:
+    rows = lemmas.lemmatized(_docs(spark, folder), _lexicon(spark, folder)).where(F.size("lemmas") > 0)
+    return rows.select("id", F.array_join("lemmas", " ").alias("lemmas"))
+
+
+@query("SELECT coalesce(x.lemma, w.term) || '_X' AS term, count(*)::BIGINT AS n FROM words w LEFT JOIN lexicon x ON x.token = w.term GROUP BY 1", "words", "lexicon")
+def lemma_pos_counts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = lemmas.as_units(lemmas.lemmatized(_docs(spark, folder), _lexicon(spark, folder)), "lemma_pos")
+    return index.term_counts(index.positions(rows))
+
+
+@query("SELECT w.id, w.corpus, w.pos, w.term FROM words w SEMI JOIN targets USING (term) WHERE term IN (SELECT term FROM words GROUP BY term HAVING count(*) >= 2)", "words", "targets")
+def repeated_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    return index.enough_mentions(index.mentions(_words(spark, folder), _targets(spark, folder))).select("id", "corpus", "pos", "term")
+
+
+@query(
+    " UNION ALL ".join(f"(SELECT '{kind}' AS kind, row_number() OVER (ORDER BY {order}, term)::INTEGER AS rank, term, n::BIGINT AS n, neighbours FROM scaled ORDER BY {order}, term LIMIT 15)" for kind, order in (("rarest", "n"), ("fewest_neighbours", "neighbours"), ("most_neighbours", "neighbours DESC"))),
+    "scaled",
+)
+def score_diagnostics(spark: SparkSession, folder: str) -> DataFrame:
+    return score.diagnostics(cut(_scaled(spark, folder)))
+
+
+@query("SELECT term, id, pos::INTEGER AS pos FROM (SELECT id, split_part(unnest(k), '_', 1) AS term, unnest(range(len(k))) AS pos FROM (SELECT id, list_filter(string_split_regex(lemmas, '\\s+'), lambda t: t <> '' AND NOT starts_with(t, 'http')) AS k FROM lines)) SEMI JOIN targets USING (term)", "lines", "targets")
+def lemma_target_positions_nopos(spark: SparkSession, folder: str) -> DataFrame:
+    return index.lemma_positions(_lines(spark, folder), _targets(spark, folder), without_pos=True).select("term", "id", "pos")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
