@@ -148,8 +148,8 @@ def same_looking_pairs(df: DataFrame, id_field: str, field: str) -> DataFrame:
     the rows of these are paired.
     """
     rows = df.select(F.col(f"`{id_field}`").alias("id"), F.col(f"`{field}`").alias("stored")).where("id IS NOT NULL AND stored IS NOT NULL")
-    some = with_canonical(rows, "stored").where("canonical <> ''")
-    forms = cut(some.select("id", F.xxhash64("canonical").alias("key"), F.md5("canonical").alias("form"), F.xxhash64("stored").alias("exact")))
+    some = with_canonical(rows, "stored").select("id", F.xxhash64("canonical").alias("key"), F.md5("canonical").alias("form"), F.xxhash64("stored").alias("exact"))
+    forms = cut(some).where(F.col("form") != F.md5(F.lit("")))  # after writing: a filter before it would normalise twice
     mixed = forms.groupBy("key").agg(F.min("exact").alias("low"), F.max("exact").alias("high")).where("low <> high").select("key")
     few = forms.join(mixed, "key", "left_semi").dropDuplicates(["key", "id", "exact"])
     a, b = (few.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "exact", "form"))) for x in "ab")
