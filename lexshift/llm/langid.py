@@ -178,6 +178,7 @@ class Detector:
         self.model = model
         self.seen: dict[str, int] = {}
         self.scores = np.zeros((1024, len(model.contests)))
+        self.emit = np.zeros((1024, len(model.langs)))
 
     def learn(self, words: set[str]) -> None:
         """Score words not seen before, all at once."""
@@ -185,7 +186,9 @@ class Detector:
         n = len(self.seen)
         if n + len(new) > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros((n + 2 * len(new), self.scores.shape[1]))])
-        self.scores[n : n + len(new)] = self.model.scores(new)
+            self.emit = np.concatenate([self.emit, np.zeros((len(self.scores) - len(self.emit), self.emit.shape[1]))])
+        self.scores[n : n + len(new)] = made = self.model.scores(new)
+        self.emit[n : n + len(new)] = self.model.logs(made * TEMPER)
         self.seen.update(zip(new, range(n, n + len(new)), strict=True))
 
     def segments(self, texts: list[str | None]) -> list[list[tuple[int, int, str, float]]]:
@@ -203,15 +206,15 @@ class Detector:
         starts = np.cumsum([0, *(len(d) for _, d in docs)])
         whole = m.logs((sums[starts[1:]] - sums[starts[:-1]]) / np.diff(starts)[:, None])
         main = whole.argmax(1)
-        # windows of half a stretch: a text whose windows all agree with the whole is in one language
-        half = MIN_STRETCH // 2
-        mixed = np.zeros(len(docs), bool)
-        if len(sums) > half:
-            kind = m.logs((sums[half:] - sums[:-half]) / half)
-            of = np.searchsorted(starts, np.arange(len(kind)), "right") - 1
-            inside = np.arange(len(kind)) + half <= starts[of + 1]
-            alien = (kind.argmax(1) != main[of]) & inside
-            mixed[np.unique(of[alien])] = True
+        # a text stays in its main language unless some stretch gains more than a change costs: the best stretch that
+        # ends at each word starts where the running sum of the lead over the main language was lowest
+        flat, of = np.concatenate([d for _, d in docs]), np.repeat(np.arange(len(docs)), np.diff(starts))
+        lead = self.emit[flat]
+        lead = lead - lead[np.arange(len(flat)), main[of]][:, None]
+        after = np.cumsum(lead, 0)
+        apart = (np.abs(after).max() * 2 + 1) * of[:, None]  # sets the texts so far apart that each begins its own minimum
+        lowest = np.minimum.accumulate(after - lead - apart, 0) + apart
+        mixed = np.maximum.reduceat((after - lowest).max(1), starts[:-1]) > SWITCH_AT_END
         mixed &= np.diff(starts) > MIN_STRETCH
         for n, (i, d) in enumerate(docs):
             if not mixed[n]:
@@ -232,12 +235,9 @@ class Detector:
         """The best languages by word of several texts at once, a change costing less where ``ends`` says that a sentence begins."""
         longest, k = max(map(len, docs)), len(self.model.langs)
         emit, cost = np.zeros((longest, len(docs), k)), np.full((longest, len(docs)), SWITCH)
-        used, again = np.unique(np.concatenate(docs), return_inverse=True)
-        by_word, at = self.model.logs(self.scores[used] * TEMPER), 0
         for n, d in enumerate(docs):
-            emit[: len(d), n] = by_word[again[at : at + len(d)]]
+            emit[: len(d), n] = self.emit[d]
             cost[: len(d), n] = np.where(ends[n], SWITCH_AT_END, SWITCH)
-            at += len(d)
         best, back = emit[0], np.zeros(emit.shape, np.int8)
         stay = np.arange(k)
         for t in range(1, longest):
