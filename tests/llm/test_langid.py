@@ -1,5 +1,7 @@
+import os
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -78,3 +80,16 @@ def test_wrong_labels(spark, model):
 def test_fit_needs_two(spark):
     with pytest.raises(ValueError):
         langid.fit(spark.createDataFrame([("eng", "a b")], "lang string, text string"))
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001/lang_samples.parquet"), reason="no test data")
+def test_held_out_samples():
+    """Two halves of the labelled samples, each judged by the machines of the other."""
+    rows = sorted(duckdb.sql("SELECT sample_id, lang, text FROM '/root/testdata/sf0.001/lang_samples.parquet'").fetchall())
+    right = 0
+    for k in (0, 1):
+        model = langid.Model([(lang, t) for i, (_, lang, t) in enumerate(rows) if i % 2 != k])
+        held = [r for i, r in enumerate(rows) if i % 2 == k]
+        got = langid.Detector(model).segments([t for _, _, t in held])
+        right += sum(len(s) == 1 and s[0][2] == lang for (_, lang, _), s in zip(held, got, strict=True))
+    assert right / len(rows) >= 0.99
