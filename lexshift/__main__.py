@@ -80,8 +80,8 @@ def index_terms(spark: SparkSession, a: Args) -> DataFrame:
     valid = index.valid_terms(counts, a.min_count, a.min_count_per_corpus)
     if a.max_terms:
         valid = index.stratified(valid.join(targets, "term", "left_anti"), a.max_terms, a.seed) if a.stratified else index.background(valid, targets, a.max_terms, a.seed)
-    found = index.capped(index.mentions(terms, index.union_terms(valid, targets)), a.max_tokens, a.seed)
-    return found.join(counts.select("term", "n"), "term")
+    wanted = counts.join(index.union_terms(valid, targets), "term", "left_semi").select("term", "n")
+    return index.capped(terms, a.max_tokens, a.seed, wanted).join(wanted, "term")
 
 
 @command(DOCS, INDEX, opt("stopwords", required=True, help="a word a line"), TOP_K, opt("allow-single", action="store_true"))

@@ -34,7 +34,7 @@ def correlations(pairs: DataFrame) -> DataFrame:
     """One row: pairs, Pearson's r and Spearman's rho with p-values; NULL where they are undefined."""
     ranked = pairs.withColumn("rx", average_rank("x")).withColumn("ry", average_rank("y"))
     rows = ranked.agg(F.count("*").alias("pairs"), _corr("x", "y").alias("pearson"), _corr("rx", "ry").alias("spearman"))
-    p = F.udf(stats.two_sided_p, T.DoubleType())  # one row
+    p = F.udf(lambda r, n: stats.two_sided_p(r, n), T.DoubleType())  # one row
     return rows.select("pairs", F.round("pearson", 9).alias("pearson"), F.round(p("pearson", "pairs"), 9).alias("pearson_p"), F.round("spearman", 9).alias("spearman"), F.round(p("spearman", "pairs"), 9).alias("spearman_p"))
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexshift.functions import text as X
+from lexshift.operators.corpus import unit
+from lexshift.workdir import cut
 
 
 def positions(docs: DataFrame) -> DataFrame:
@@ -68,8 +71,27 @@ def mentions(terms: DataFrame, wanted: DataFrame) -> DataFrame:
     return terms.join(wanted.select("term").distinct(), "term", "left_semi")
 
 
-def capped(found: DataFrame, most: int = 4000, seed: int = 42) -> DataFrame:
-    """At most ``most`` mentions of each term, a uniform choice in hash order. Spark limits each group on the map side first."""
+def capped(found: DataFrame, most: int = 4000, seed: int = 42, counts: DataFrame | None = None) -> DataFrame:
+    """At most ``most`` mentions of each term, a uniform choice: those whose hashes are smallest.
+
+    counts: ``term, n`` of the terms wanted and the number of their mentions, if known. Then one pass ranks only rows
+    whose hash is below a bound under which ten standard deviations more than ``most`` are expected, so hot terms are
+    not sorted. Should a term have fewer there than it must, all its rows are ranked after all: the choice is the same.
+    """
+    if counts is None:
+        return _smallest(found, most, seed)
+    known = counts.select("term", F.col("n").alias("_n"))
+    share = (most + 10 * math.sqrt(most) + 20) / F.col("_n")
+    low = found.join(known, "term").where((F.col("_n") <= most) | (unit(seed, "term", "id", "pos") <= share)).drop("_n")
+    ranked = cut(_smallest(low, most, seed))
+    short = known.join(ranked.groupBy("term").agg(F.count("*").alias("k")), "term", "left").where(F.coalesce("k", F.lit(0)) < F.least("_n", F.lit(most))).select("term")
+    if short.isEmpty():
+        return ranked
+    return ranked.join(short, "term", "left_anti").unionByName(_smallest(found.join(short, "term", "left_semi"), most, seed))
+
+
+def _smallest(found: DataFrame, most: int, seed: int) -> DataFrame:
+    """Spark limits each group on the map side first."""
     order = Window.partitionBy("term").orderBy(_hash(seed, "term", "id", "pos"), "id", "pos")
     return found.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most).drop("turn")
 

@@ -31,8 +31,8 @@ def lexical_change(docs: DataFrame, stopwords: DataFrame, config: Config, target
     beside = context.neighbours(docs)
     counts = cut(index.term_counts_by_corpus(beside.select("term", "corpus"), config.halves))  # a row a term, read several times
     valid = index.valid_terms(counts, config.min_count, config.min_per_corpus)
-    wanted = index.union_terms(valid, targets) if targets is not None else valid
-    found = index.capped(index.mentions(beside, wanted), config.cap, config.seed)
+    wanted = counts.join(index.union_terms(valid, targets), "term", "left_semi") if targets is not None else valid
+    found = index.capped(beside, config.cap, config.seed, wanted)
     ranked = model or BigramModel.fit(beside, counts, stopwords)
     hist = cut(context_histogram(found, ranked, config.top_k))  # read twice; made once
     jsd = score.jensen_shannon(hist, config.halves, config.require_both)

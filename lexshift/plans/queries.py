@@ -259,8 +259,8 @@ def target_mentions_semi(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT term, id, corpus, pos FROM mentions", "mentions")
 def mention_sample_cap(spark: SparkSession, folder: str) -> DataFrame:
-    found = index.mentions(_words(spark, folder), index.valid_terms(_counts(spark, folder)))
-    return index.capped(found).select("term", "id", "corpus", "pos")
+    valid = cut(index.valid_terms(_counts(spark, folder)))
+    return index.capped(_words(spark, folder), counts=valid).select("term", "id", "corpus", "pos")
 
 
 @query("SELECT term, n, round::INTEGER AS round FROM (SELECT term, n, row_number() OVER (PARTITION BY n ORDER BY md5(concat_ws('|', '42', term)), term) AS round FROM valid) ORDER BY round, md5(concat_ws('|', '42', round, n)), n LIMIT 1000", "valid")
@@ -338,7 +338,7 @@ def bigram_model(spark: SparkSession, folder: str) -> DataFrame:
 def substitutes_topk(spark: SparkSession, folder: str) -> DataFrame:
     beside = context.neighbours(_docs(spark, folder))
     counts = cut(index.term_counts_by_corpus(beside, HALVES))
-    found = cut(index.capped(index.mentions(beside, index.valid_terms(counts))))
+    found = index.capped(beside, counts=index.valid_terms(counts))
     rows = model.substitutes(found, model.BigramModel.fit(beside, counts, _stopwords(spark, folder)))
     return rows.select("term", "id", "corpus", "pos", F.when(F.size("top_terms") > 0, F.array_join("top_terms", " ")).alias("top_terms"))
 
@@ -461,8 +461,8 @@ def unscored_gold(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT o.term, coalesce(i.n, 0)::BIGINT AS indexed, o.n::BIGINT AS original, round(coalesce(i.n, 0) / o.n, 9) AS share FROM (SELECT term, count(*) AS n FROM words SEMI JOIN valid USING (term) GROUP BY term) o LEFT JOIN (SELECT term, count(*) AS n FROM mentions GROUP BY term) i ON i.term = o.term", "mentions")
 def index_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    found = index.mentions(_words(spark, folder), index.valid_terms(_counts(spark, folder)))
-    return evaluate.coverage(index.capped(found), found)
+    valid = cut(index.valid_terms(_counts(spark, folder)))
+    return evaluate.coverage(index.capped(_words(spark, folder), counts=valid), index.mentions(_words(spark, folder), valid))
 
 
 @query("SELECT round(avg(n), 9) AS mean_n, median(n)::DOUBLE AS median_n, round(avg(least(n_a, n_b)), 9) AS mean_least, median(least(n_a, n_b))::DOUBLE AS median_least FROM valid", "valid")

@@ -29,6 +29,16 @@ def test_cap_and_partitions(spark):
     assert a == b and sum(r[0] == "hot" for r in a) == 150 and sum(r[0] == "cold" for r in a) == 100
 
 
+def test_cap_with_known_counts_is_the_same(spark):
+    rows = spark.range(9000).select(F.when(F.col("id") < 8000, "hot").when(F.col("id") < 8990, "warm").otherwise("cold").alias("term"), F.col("id").cast("string").alias("id"), F.lit(0).alias("pos"))
+    n = rows.groupBy("term").agg(F.count("*").alias("n"))
+    want = {tuple(r) for r in index.capped(rows, 100).collect()}
+    assert {tuple(r) for r in index.capped(rows, 100, counts=n).collect()} == want and len(want) == 210
+    # counts that promise far more rows than there are: too few rows stay below the bound, so all are ranked
+    wrong = n.withColumn("n", F.lit(10_000_000).cast("bigint"))
+    assert {tuple(r) for r in index.capped(rows, 100, counts=wrong).collect()} == want
+
+
 def test_stratified(spark):
     df = spark.createDataFrame([(f"t{i}", 1 if i < 50 else i) for i in range(60)], "term string, n bigint")
     got = index.stratified(df, 11).collect()
