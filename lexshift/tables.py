@@ -16,3 +16,8 @@ def one_per_key(df: DataFrame, *keys: str) -> DataFrame:
     per input partition.
     """
     return df.dropDuplicates(list(keys))
+
+
+def quoted(name: str) -> str:
+    """A column's name as SQL takes it, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
