@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexshift.tables import quoted
 from lexshift.workdir import cut
 
 # Letters of other scripts and the Latin letters they look like, in order of code points.
@@ -132,11 +133,9 @@ def with_canonical(df: DataFrame, field: str, to: str = "canonical") -> DataFram
     """``df`` with the canonical form of the string column ``field`` in the new column ``to``.
 
     NULL stays NULL, an empty or blank text becomes empty, long texts are treated whole, repeated rows are kept, an
-    empty table gives an empty table. A column named ``to`` must not exist yet (ValueError); all others pass through.
+    empty table gives an empty table. A column that is named ``to`` gives way; all others pass through.
     """
-    if to in df.columns:
-        raise ValueError(f"there is a column {to} already")
-    return df.withColumn(to, canonical_column(F.col(f"`{field}`")))
+    return df.withColumn(to, canonical_column(F.col(quoted(field))))
 
 
 def same_looking_pairs(df: DataFrame, id_field: str, field: str) -> DataFrame:
@@ -147,7 +146,7 @@ def same_looking_pairs(df: DataFrame, id_field: str, field: str) -> DataFrame:
     written to the shared folder. Pre-aggregation on the map side finds the groups that hold two different strings; only
     the rows of these are paired.
     """
-    rows = df.select(F.col(f"`{id_field}`").alias("id"), F.col(f"`{field}`").alias("stored")).where("id IS NOT NULL AND stored IS NOT NULL")
+    rows = df.select(F.col(quoted(id_field)).alias("id"), F.col(quoted(field)).alias("stored")).where("id IS NOT NULL AND stored IS NOT NULL")
     some = with_canonical(rows, "stored").select("id", F.xxhash64("canonical").alias("key"), F.md5("canonical").alias("form"), F.xxhash64("stored").alias("exact"))
     forms = cut(some).where(F.col("form") != F.md5(F.lit("")))  # after writing: a filter before it would normalise twice
     mixed = forms.groupBy("key").agg(F.min("exact").alias("low"), F.max("exact").alias("high")).where("low <> high").select("key")

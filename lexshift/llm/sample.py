@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexshift.tables import quoted
 from lexshift.workdir import cut
 
 #: Records in a production sample; seed; heaps that one task merges.
@@ -60,14 +61,13 @@ def uniform_sample(df: DataFrame, identity: list[str], k: int = SIZE, seed: int
 
     A record is what the columns ``identity`` say: rows that agree in them are one record, whatever row comes out.
     Records with a NULL in ``identity`` are records too; NULL differs from the empty string. An empty table gives an
-    empty sample. A column ``sample_key`` in ``df`` raises ValueError.
+    empty sample. A column ``sample_key`` of ``df`` gives way to the new one.
     """
     if k < 1 or fan_in < 2:
         raise ValueError("k must be 1 and fan_in 2 at least")
-    if "sample_key" in df.columns:
-        raise ValueError("there is a column sample_key already")
-    parts = [F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("!")) for c in identity]
-    keyed = df.select(F.md5(F.concat_ws("|", F.lit(str(seed)), *parts)).alias("sample_key"), "*")
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(quoted(c)).cast("string")), F.lit("!")) for c in identity]
+    rest = [quoted(c) for c in df.columns if c.lower() != "sample_key"]
+    keyed = df.select(F.md5(F.concat_ws("|", F.lit(str(seed)), *parts)).alias("sample_key"), *rest)
     return merge_samples(keyed, k, fan_in)
 
 

@@ -14,6 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexshift.tables import quoted
+
+#: Columns that a split adds.
+MADE = ("piece_no", "n_pieces", "unit", "start", "size", "shared", "piece_tokens", "piece_text")
 #: Production limits: characters, word pieces, and what consecutive pieces share.
 MAX_CHARS, CHAR_OVERLAP, MAX_PIECES, PIECE_OVERLAP = 1200, 150, 256, 32
 #: Tokens that end a sentence, and that may follow such an end.
@@ -66,30 +70,30 @@ def _starts(cores: Column) -> Column:
 
 
 def split_oversized(df: DataFrame, tokens: str = "tokens", text: str = "text", max_pieces: int = MAX_PIECES, piece_overlap: int = PIECE_OVERLAP, max_chars: int = MAX_CHARS, char_overlap: int = CHAR_OVERLAP) -> DataFrame:
-    """One row per piece, with all columns of ``df`` but the two split ones, and these:
+    """One row per piece, with the columns of ``df`` but the two split ones, and these:
 
     ``piece_no`` from 0, ``n_pieces``, ``unit`` (tokens or text), ``start`` and ``size`` in word pieces or characters
     with the overlap, ``shared`` with the piece before, ``piece_tokens`` (word pieces) or ``piece_text``.
 
     The tokens are split; where they are NULL, the text. Rows that fit come out as one piece, as do empty lists and
     texts; rows with neither give no piece. A single token over the limit is cut between its word pieces, text without
-    blanks between characters. Repeated rows are kept; columns of ``df`` with a name above raise ValueError. Every row
-    is treated by itself, without a shuffle.
+    blanks between characters. Repeated rows are kept; a column of ``df`` named like a new one gives way to it. Every
+    row is treated by itself, without a shuffle.
     """
-    made = ["piece_no", "n_pieces", "unit", "start", "size", "shared", "piece_tokens", "piece_text"]
-    if clash := set(made) & set(df.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
-    toks, txt = F.col(f"`{tokens}`"), F.col(f"`{text}`")
+    toks, txt = F.col(quoted(tokens)), F.col(quoted(text))
     has = toks.isNotNull()
     code = F.when(has, code_of(toks))
     cores = F.when(has, F.regexp_extract_all(code, F.lit(code_pattern(max_pieces, piece_overlap)), F.lit(0))).otherwise(F.regexp_extract_all(txt, F.lit(text_pattern(max_chars, char_overlap)), F.lit(0)))
-    keep = [c for c in df.columns if c not in (tokens, text)]
-    cut = df.where(has | txt.isNotNull()).select(*(F.col(f"`{c}`") for c in keep), F.when(has, word_pieces(toks)).alias("_pieces"), has.alias("_has"), F.when(F.size(cores) > 0, cores).otherwise(F.array(F.lit(""))).alias("_cores"))
-    cut = cut.withColumn("_from", _starts(F.col("_cores")))
-    rows = cut.select(*keep, "_pieces", "_has", F.size("_cores").alias("n_pieces"), F.posexplode(F.arrays_zip(F.col("_cores").alias("core"), F.col("_from").alias("at"), F.concat(F.array(F.lit("")), F.col("_cores")).alias("before"))).alias("piece_no", "_p")).where("piece_no < n_pieces")
-    back = F.when(F.col("piece_no") == 0, 0).when(F.col("_has"), piece_overlap).otherwise(char_overlap)
-    start, size = F.col("_p.at") - back, F.length("_p.core") + back
-    return rows.select(*keep, "piece_no", "n_pieces", F.when(F.col("_has"), "tokens").otherwise("text").alias("unit"), start.alias("start"), size.alias("size"), back.alias("shared"), F.when(F.col("_has"), F.slice("_pieces", start + 1, size)).alias("piece_tokens"), F.when(~F.col("_has"), F.concat(F.when(back > 0, F.expr(f"right(_p.before, {int(char_overlap)})")).otherwise(""), F.col("_p.core"))).alias("piece_text"))
+    given_up = {c.lower() for c in (tokens, text, *MADE)}
+    keep = [c for c in df.columns if c.lower() not in given_up]
+    # the kept columns travel as one struct, so that no name in use here can clash with theirs
+    cut = df.where(has | txt.isNotNull()).select(F.struct(F.lit(0).alias(MADE[0]), *(F.col(quoted(c)) for c in keep)).alias("row"), F.when(has, word_pieces(toks)).alias("pieces"), has.alias("has"), F.when(F.size(cores) > 0, cores).otherwise(F.array(F.lit(""))).alias("cores"))
+    cut = cut.withColumn("from", _starts(F.col("cores")))
+    rows = cut.select("row", "pieces", "has", F.size("cores").alias("n_pieces"), F.posexplode(F.arrays_zip(F.col("cores").alias("core"), F.col("from").alias("at"), F.concat(F.array(F.lit("")), F.col("cores")).alias("before"))).alias("piece_no", "p")).where("piece_no < n_pieces")
+    back = F.when(F.col("piece_no") == 0, 0).when(F.col("has"), piece_overlap).otherwise(char_overlap)
+    start, size = F.col("p.at") - back, F.length("p.core") + back
+    made = ["piece_no", "n_pieces", F.when(F.col("has"), "tokens").otherwise("text").alias("unit"), start.alias("start"), size.alias("size"), back.alias("shared"), F.when(F.col("has"), F.slice("pieces", start + 1, size)).alias("piece_tokens"), F.when(~F.col("has"), F.concat(F.when(back > 0, F.expr(f"right(p.before, {int(char_overlap)})")).otherwise(""), F.col("p.core"))).alias("piece_text")]
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in keep), *made)
 
 
 def oversized(df: DataFrame, key: str = "id") -> DataFrame:

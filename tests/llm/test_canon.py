@@ -41,8 +41,8 @@ def test_column(spark):
     df = spark.createDataFrame([(None, 1), ("", 2), ("  ", 3), ("ａ" * 100_000, 4), ("b", 5), ("b", 5)], "t string, k int")
     got = [r["canonical"] for r in canon.with_canonical(df, "t").orderBy("k").collect()]
     assert got == [None, "", "", "a" * 100_000, "b", "b"]
-    with pytest.raises(ValueError):
-        canon.with_canonical(df, "t", "k")
+    over = canon.with_canonical(df.where("k = 4 OR k = 5").selectExpr("t AS `a.t`", "k AS Canonical"), "a.t")
+    assert len(over.columns) == 2 and {r["canonical"] for r in over.collect()} == {"a" * 100_000, "b"}
 
 
 def test_pairs(spark):

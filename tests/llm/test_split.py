@@ -70,8 +70,10 @@ def test_found_and_errors(spark):
     df = spark.createDataFrame([("a", ["w"] * 257, "x"), ("a", ["w"] * 257, "x"), ("b", ["w"] * 256, "x" * 9999), ("c", None, "y" * 1201)], "id string, tokens array<string>, text string")
     assert sorted(r[0] for r in split.oversized(df).collect()) == ["a", "c"]
     assert split.oversized(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        split.split_oversized(df.withColumnRenamed("id", "size"))
+    clash = df.selectExpr("id AS Size", "tokens", "text", "1 AS row", "2 AS p", "3 AS cores", "4 AS `a.b`", "5 AS `from`")
+    got = split.split_oversized(clash)
+    assert got.columns == ["row", "p", "cores", "a.b", "from", *split.MADE] and got.where("size <= 256").count() >= 4
+    assert tuple(got.first())[:5] == (1, 2, 3, 4, 5)
     with pytest.raises(ValueError):
         split.text_pattern(100, 50)
 

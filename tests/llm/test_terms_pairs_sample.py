@@ -87,8 +87,8 @@ def test_sample(spark):
     assert other != {r[1:] for r in one}
     with pytest.raises(ValueError):
         sample.uniform_sample(df, ["id"], 0)
-    with pytest.raises(ValueError):
-        sample.uniform_sample(df.withColumnRenamed("v", "sample_key"), ["id"])
+    clash = sample.uniform_sample(df.withColumnRenamed("v", "Sample_Key"), ["id"], 5)
+    assert clash.columns == ["sample_key", "id"] and clash.count() == 5
 
 
 def test_sample_of_pieces_is_the_sample_of_all(spark):
