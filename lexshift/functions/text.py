@@ -142,8 +142,8 @@ def pieces(tokens: Column) -> Column:
 
 def rejoined(parts: Column) -> Column:
     """Words of word pieces: a piece with a mark is appended, marks kept, unless it comes first."""
-    glue = F.aggregate(parts, F.lit(""), lambda a, p: F.concat(a, F.when((a == "") | ~F.startswith(p, F.lit("##")), F.concat(F.lit("\x00"), p)).otherwise(p)))
-    return F.filter(F.split(glue, "\x00"), lambda t: t != "")
+    glued = F.array_join(F.transform(parts, lambda p, i: F.when((i > 0) & F.startswith(p, F.lit("##")), p).otherwise(F.concat(F.lit("\x00"), p))), "")
+    return F.filter(F.split(glued, "\x00"), lambda t: t != "")
 
 
 def without_punctuation(tokens: Column) -> Column:

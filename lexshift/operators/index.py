@@ -142,9 +142,9 @@ def phrase_tokens(tokens: Column, phrases: list[str]) -> Column:
 def phrase_mentions(docs: DataFrame, phrases: list[str]) -> DataFrame:
     """``id, corpus, pos, words, term``: phrases and the words outside them; ``pos`` counts single tokens."""
     parts = docs.select("id", "corpus", phrase_tokens(X.unmarked(F.col("tokens")), phrases).alias("parts"))
-    words = F.transform("parts", lambda p: F.size(F.split(p, " ")))
-    rows = parts.select("id", "corpus", words.alias("sizes"), F.posexplode("parts").alias("at", "term"))
-    return rows.select("id", "corpus", F.aggregate(F.slice("sizes", 1, F.col("at")), F.lit(0), lambda a, b: a + b).alias("pos"), F.size(F.split("term", " ")).alias("words"), "term")
+    rows = parts.select("id", "corpus", F.posexplode("parts").alias("at", "term")).withColumn("words", F.size(F.split("term", " ")))
+    before = F.sum("words").over(Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.select("id", "corpus", F.coalesce(before, F.lit(0)).cast("int").alias("pos"), "words", "term")
 
 
 def enough_mentions(found: DataFrame, least: int = 2) -> DataFrame:

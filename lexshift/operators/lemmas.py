@@ -35,15 +35,14 @@ def merged(parts: Column) -> Column:
 
     parts: an array of structs ``text, lemma, pos, touches`` in order; ``touches`` says that nothing stands before it.
     """
-    start = F.array().cast("array<struct<text:string,lemma:string,pos:string>>")
+    first = F.filter(F.transform(parts, lambda p, i: F.when((i == 0) | ~p["touches"], i)), lambda i: i.isNotNull())
+    joined = lambda xs, field: F.array_join(F.transform(xs, lambda p: p[field]), "")
 
-    def add(done: Column, p: Column) -> Column:
-        last = F.element_at(done, -1)
-        whole = F.struct(F.concat(last["text"], p["text"]).alias("text"), F.concat(last["lemma"], p["lemma"]).alias("lemma"), last["pos"].alias("pos"))
-        one = F.struct(p["text"].alias("text"), p["lemma"].alias("lemma"), p["pos"].alias("pos"))
-        return F.when(p["touches"] & (F.size(done) > 0), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(whole))).otherwise(F.concat(done, F.array(one)))
+    def one(i: Column, k: Column) -> Column:
+        own = F.slice(parts, i + 1, F.coalesce(F.get(first, k + 1), F.size(parts)) - i)
+        return F.struct(joined(own, "text").alias("text"), joined(own, "lemma").alias("lemma"), F.get(parts, i)["pos"].alias("pos"))
 
-    return F.aggregate(parts, start, lambda done, p: add(done, p))
+    return F.transform(first, one)
 
 
 def uneven(docs: DataFrame) -> DataFrame:
