@@ -134,34 +134,44 @@ def _histogram(rows: DataFrame) -> dict[int, dict[int, int]]:
 def pack(items: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """``id, size, container``: each item (``id`` string, unique; ``size`` from 1 to ``capacity``) in one container.
 
-    The sizes of a container sum up to the capacity at most. A container has the id of the item that opened it.
+    Rows of another size raise, as they fit no container. The sizes of a container sum up to the capacity at most. A container has the id of the item that opened it.
     An empty table gives no rows. The result does not depend on the order or partitions of the rows.
     """
     spark = items.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     todo = items.select(F.lit(0).alias("kind"), F.col("id").cast("string").alias("id"), F.col("size").cast("int").alias("size"))
     sizes = _histogram(todo)[0]
+    if sizes and not (0 < min(sizes) and max(sizes) <= capacity):
+        raise ValueError(f"sizes must be from 1 to {capacity}")
     placed = [todo.where(F.col("size") * 2 > capacity).select("id", "size", F.col("id").alias("container"))]
     opened = todo.where((F.col("size") * 2 > capacity) & (F.col("size") < capacity)).select(F.lit(1).alias("kind"), "id", (F.lit(capacity) - F.col("size")).alias("size"))
+    gaps = {capacity - s: n for s, n in sizes.items() if s * 2 > capacity and s < capacity}
+
+    def blocks(items: dict[int, int], held: dict[int, int], low: int) -> int:
+        """So many that none has more than ``block_items`` rows, and that all cores have work."""
+        rows = sum(items.values()) + sum(n for s, n in held.items() if s > low)
+        return max(1, min(least, rows // 1000), -(-rows // block_items))
+
     high = capacity // 2
     while high > 0:
         low = 0 if high <= LEAST_CLASS else high // 2
         own = {s: n for s, n in sizes.items() if low < s <= high}
         if own:
-            count = max(1, min(least, sum(own.values()) // 1000), -(-sum(own.values()) // block_items))
+            count = blocks(own, gaps, low)
             out = _swept(todo.where((F.col("size") > low) & (F.col("size") <= high)).unionByName(opened.where(F.col("size") > low)), _blocks(own, count, high), capacity, False)
             states = [out]
             waiting = opened.where(F.col("size") <= low)
             left = _histogram(out)
             if left[0]:
-                gaps = {s: n for s, n in left[1].items() if s > low}
+                wide = {s: n for s, n in left[1].items() if s > low}
                 rest = out.where("kind = 0").unionByName(out.where((F.col("kind") == 1) & (F.col("size") > low)))
-                count = max(1, min(least, sum(left[0].values()) // 1000), -(-sum(left[0].values()) // block_items))
-                block = F.when(F.col("kind") == 0, _blocks(left[0], count)).otherwise(_blocks(gaps, count) if gaps else F.lit(0))
+                count = blocks(left[0], wide, low)
+                block = F.when(F.col("kind") == 0, _blocks(left[0], count)).otherwise(_blocks(wide, count) if wide else F.lit(0))
                 waiting = waiting.unionByName(out.where((F.col("kind") == 1) & (F.col("size") <= low)).select("kind", "id", "size"))
                 states.append(_swept(rest.select("kind", "id", "size"), block, capacity, True))
             placed += [s.where("kind = 2").select("id", "size", "container") for s in states]
             opened = cut(waiting.unionByName(states[-1].where("kind = 1").select("kind", "id", "size")))
+            gaps = _histogram(opened)[1]
         high = low
     result = placed[0]
     for p in placed[1:]:

@@ -63,10 +63,30 @@ def code_of(tokens: Column) -> Column:
     return F.array_join(F.transform(tokens, one), "")
 
 
-def _starts(cores: Column) -> Column:
-    """Where each match starts, from 0."""
-    sizes = F.transform(cores, F.length)
-    return F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, b: a + b))
+def _held(df: DataFrame, keep: list[str] | list[Column], **columns: Column) -> DataFrame:
+    """``keep`` and ``columns``, made once a row: what a generator puts out is not evaluated again wherever it is used."""
+    return df.select(*keep, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def _kept(df: DataFrame, tokens: str, text: str) -> list[str]:
+    given_up = {c.lower() for c in (tokens, text, *MADE)}
+    return [c for c in df.columns if c.lower() not in given_up]
+
+
+def _matches(df: DataFrame, tokens: str, text: str, limits: tuple[int, int, int, int]) -> DataFrame:
+    """The kept columns as ``c0, c1, ..``, ``has`` (tokens), ``tokens``, and ``cores``: the matches that cut each row that has something to cut."""
+    max_pieces, piece_overlap, max_chars, char_overlap = limits
+    toks, txt = F.col(quoted(tokens)), F.col(quoted(text))
+    has = toks.isNotNull()
+    cores = F.when(has, F.regexp_extract_all(code_of(toks), F.lit(code_pattern(max_pieces, piece_overlap)), F.lit(0))).otherwise(F.regexp_extract_all(txt, F.lit(text_pattern(max_chars, char_overlap)), F.lit(0)))
+    # the kept columns travel under numbers, so that no name in use here can clash with theirs
+    keep = [F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(_kept(df, tokens, text))]
+    found = _held(df.where(has | txt.isNotNull()), keep, has=has, tokens=toks, cores=cores)
+    return found.select(*_numbers(found), "has", "tokens", F.when(F.size("cores") > 0, F.col("cores")).otherwise(F.array(F.lit(""))).alias("cores"))
+
+
+def _numbers(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c.startswith("c") and c[1:].isdigit()]
 
 
 def split_oversized(df: DataFrame, tokens: str = "tokens", text: str = "text", max_pieces: int = MAX_PIECES, piece_overlap: int = PIECE_OVERLAP, max_chars: int = MAX_CHARS, char_overlap: int = CHAR_OVERLAP) -> DataFrame:
@@ -80,22 +100,21 @@ def split_oversized(df: DataFrame, tokens: str = "tokens", text: str = "text", m
     blanks between characters. Repeated rows are kept; a column of ``df`` named like a new one gives way to it. Every
     row is treated by itself, without a shuffle.
     """
-    toks, txt = F.col(quoted(tokens)), F.col(quoted(text))
-    has = toks.isNotNull()
-    code = F.when(has, code_of(toks))
-    cores = F.when(has, F.regexp_extract_all(code, F.lit(code_pattern(max_pieces, piece_overlap)), F.lit(0))).otherwise(F.regexp_extract_all(txt, F.lit(text_pattern(max_chars, char_overlap)), F.lit(0)))
-    given_up = {c.lower() for c in (tokens, text, *MADE)}
-    keep = [c for c in df.columns if c.lower() not in given_up]
-    # the kept columns travel as one struct, so that no name in use here can clash with theirs
-    cut = df.where(has | txt.isNotNull()).select(F.struct(F.lit(0).alias(MADE[0]), *(F.col(quoted(c)) for c in keep)).alias("row"), F.when(has, word_pieces(toks)).alias("pieces"), has.alias("has"), F.when(F.size(cores) > 0, cores).otherwise(F.array(F.lit(""))).alias("cores"))
-    cut = cut.withColumn("from", _starts(F.col("cores")))
-    rows = cut.select("row", "pieces", "has", F.size("cores").alias("n_pieces"), F.posexplode(F.arrays_zip(F.col("cores").alias("core"), F.col("from").alias("at"), F.concat(F.array(F.lit("")), F.col("cores")).alias("before"))).alias("piece_no", "p")).where("piece_no < n_pieces")
-    back = F.when(F.col("piece_no") == 0, 0).when(F.col("has"), piece_overlap).otherwise(char_overlap)
-    start, size = F.col("p.at") - back, F.length("p.core") + back
-    made = ["piece_no", "n_pieces", F.when(F.col("has"), "tokens").otherwise("text").alias("unit"), start.alias("start"), size.alias("size"), back.alias("shared"), F.when(F.col("has"), F.slice("pieces", start + 1, size)).alias("piece_tokens"), F.when(~F.col("has"), F.concat(F.when(back > 0, F.expr(f"right(p.before, {int(char_overlap)})")).otherwise(""), F.col("p.core"))).alias("piece_text")]
-    return rows.select(*(F.col("row").getField(c).alias(c) for c in keep), *made)
+    found = _matches(df, tokens, text, (max_pieces, piece_overlap, max_chars, char_overlap))
+    at = F.aggregate("cores", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda a, c: F.struct((a["at"] + F.length(c)).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")), lambda a: a["all"])
+    held = _held(found, _numbers(found), has=F.col("has"), cores=F.col("cores"), pieces=F.when(F.col("has"), word_pieces(F.col("tokens"))), at=at)
+
+    def piece(core: Column, i: Column) -> Column:
+        back = F.when(i == 0, 0).when(F.col("has"), piece_overlap).otherwise(char_overlap)
+        start, size = F.get("at", i) - back, F.length(core) + back
+        before = F.when(i > 0, F.right(F.get("cores", i - 1), F.lit(char_overlap))).otherwise("")
+        return F.struct(start.alias("start"), size.alias("size"), back.alias("shared"), F.when(F.col("has"), F.slice("pieces", start + 1, size)).alias("piece_tokens"), F.when(~F.col("has"), F.concat(before, core)).alias("piece_text"))
+
+    rows = held.select(*_numbers(held), "has", F.size("cores").alias("n_pieces"), F.posexplode(F.transform("cores", piece)).alias("piece_no", "p"))
+    return rows.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(_kept(df, tokens, text))), "piece_no", "n_pieces", F.when(F.col("has"), "tokens").otherwise("text").alias("unit"), "p.*")
 
 
 def oversized(df: DataFrame, key: str = "id") -> DataFrame:
-    """The keys, each once, of the rows that ``split_oversized`` cuts, found by its expression."""
-    return split_oversized(df.select(key, "tokens", "text")).where("n_pieces > 1 AND piece_no = 0").select(key).distinct()
+    """The keys, each once, of the rows that ``split_oversized`` cuts, found by its expression; the pieces themselves are not built."""
+    found = _matches(df.select(key, "tokens", "text"), "tokens", "text", (MAX_PIECES, PIECE_OVERLAP, MAX_CHARS, CHAR_OVERLAP))
+    return found.where(F.size("cores") > 1).select(F.col("c0").alias(key)).distinct()
