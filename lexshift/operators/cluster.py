@@ -79,8 +79,8 @@ def communities(weights: dict[tuple[str, str], float], resolution: float = 1.0,
 def clusters(graph: DataFrame, resolution: float = 1.0, seed: int = 42) -> DataFrame:
     """``term, cluster, sub`` from weighted edges ``term, a, b, n``.
 
-    A term's graph is treated in one task; its size is bounded by the cap on mentions of a term in the index and the
-    substitutes kept of each.
+    A term's graph is treated in one task; its edges are counted before, so its size is bounded by the pairs of different
+    substitutes of the term, however many mentions it has.
     """
 
     def one(g: pd.DataFrame) -> pd.DataFrame:

@@ -547,13 +547,12 @@ def jaccard_assignments(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def louvain_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    found = index.capped(_subs(spark, folder))
-    return cluster.clusters(cluster.edges(found))
+    return cluster.clusters(cluster.edges(_subs(spark, folder)))
 
 
 @query()
 def cluster_summary(spark: SparkSession, folder: str) -> DataFrame:
-    found = index.capped(_subs(spark, folder))
+    found = _subs(spark, folder)
     members = cluster.clusters(cluster.edges(found))
     rows = cluster.cluster_table(members, score.histogram(found), cluster.assignments(found, members))
     return rows.select("term", "cluster", "n", F.to_json("members").alias("members"))

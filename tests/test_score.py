@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from lexshift.operators import cluster, evaluate, replacements, score
+from lexshift.plans import queries
 from lexshift.operators import substitutes as S
 from lexshift.operators.align import aligned, distance
 from pyspark.sql import functions as F
@@ -121,3 +122,14 @@ def test_clusters(spark):
     assert best == {"1": (0, 1.0), "2": (0, round(2 / 3, 9))}
     self_ = spark.createDataFrame([("t", ["x", "t", "y", "z"]), ("t", ["x", "y", "z", "t"])], "term string, w array<string>")
     assert [r[0] for r in self_.select(cluster.without_self(F.col("w"), F.col("term"), 2)).collect()] == [["x", "y"], ["x", "y"]]
+
+
+def test_clusters_of_all_mentions(spark, tmp_path):
+    """A term of more mentions than the index keeps: each mention counts in edges, members and assignments."""
+    n = 4100
+    rows = spark.range(n).selectExpr("'t' AS term", "concat('d', id) AS line_id", "CAST(id AS int) AS token_index", f"CASE WHEN id < {n - 5} THEN array('a', 'b') ELSE array(concat('x', id), concat('y', id)) END AS top_terms")
+    rows.union(rows.where("token_index < 50")).write.parquet(f"{tmp_path}/substitutes.parquet")
+    spark.range(n).selectExpr("concat('d', id) AS id", "IF(id % 2 = 0, 'post1970s', 'pre1980s') AS corpus_group").write.parquet(f"{tmp_path}/coha_tokens.parquet")
+    assert queries.QUERIES["louvain_clusters"](spark, str(tmp_path)).count() == 12
+    got = [(r["n"], r["members"]) for r in queries.QUERIES["cluster_summary"](spark, str(tmp_path)).collect()]
+    assert sorted(k for k, _ in got) == [1, 1, 1, 1, 1, n - 5] and any(f'"n":{n - 5}' in m for _, m in got)
