@@ -13,6 +13,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -74,25 +75,30 @@ def seeds(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grown(doc: list[int], item: list[int], k: int, j: int) -> tuple[int, int, int, int, int]:
-    """The passage around the equal words ``doc[k]`` and ``item[j]``: its bounds in both, ends excluded, and its equal words."""
+    """The passage around the equal words ``doc[k]`` and ``item[j]``: its bounds in both, ends excluded, and its equal words.
 
-    def way(step: int) -> tuple[int, int, int]:
-        a, b, equal, last = k, j, 0, (k, j)
+    Of the ways past single edits, each followed by an equal word, the one with the most equal words counts.
+    """
 
-        def same(x: int, y: int) -> bool:
-            return 0 <= x < len(doc) and 0 <= y < len(item) and doc[x] == item[y] >= 0
+    def same(x: int, y: int) -> bool:
+        return 0 <= x < len(doc) and 0 <= y < len(item) and doc[x] == item[y] >= 0
 
-        while True:
-            if same(a, b):
-                equal, last = equal + 1, (a, b)
-                a, b = a + step, b + step
-                continue
+    def way(step: int) -> tuple[int, int, int]:
+        # places to go on from, nearest first, each with the most equal words on a way to it; every edit stands between equal words
+        most, ahead, best = {(k, j): 0}, [(0, k, j)], (0, 0, k, j)
+        while ahead:
+            _, a, b = heappop(ahead)
+            equal = most[a, b]
+            while same(a, b):
+                equal, a, b = equal + 1, a + step, b + step
+            best = max(best, (equal, abs(b - j), a - step, b - step))
             for x, y in ((step, step), (step, 0), (0, step)):  # one word changed, added, dropped
-                if same(a + x, b + y) and same(a + x + step, b + y + step):
-                    a, b = a + x, b + y
-                    break
-            else:
-                return *last, equal
+                to = a + x, b + y
+                if same(*to) and most.get(to, -1) < equal:
+                    if to not in most:
+                        heappush(ahead, (abs(to[0] - k) + abs(to[1] - j), *to))
+                    most[to] = equal
+        return best[2], best[3], best[0]
 
     lo_k, lo_j, left = way(-1)
     hi_k, hi_j, right = way(1)

@@ -92,3 +92,16 @@ def test_long_document():
     index = leaks.Index([(1, item, [])])
     text = " ".join(passage(r, 100_000) + item + passage(r, 50_000))
     assert [x[1:] for x in index.leaks([None, text])] == [(1, 20)]
+
+
+def test_edits_near_ends_and_close_to_each_other():
+    r = random.Random(12)
+    item = WORDS[:40]
+    index = leaks.Index([(1, item, [])])
+    around = lambda ws: " ".join([r.choice(WORDS[100:]) for _ in range(20)] + ws + [r.choice(WORDS[100:]) for _ in range(20)])
+    one = item[:12]
+    edited = [one[:10] + ["xx"] + one[11:], one[:1] + ["xx"] + one[2:], one[:11] + ["xx"] + one[11:], one[:1] + ["xx"] + one[1:], item[:11] + item[12:13], item[:1] + item[2:13]]
+    edited.append(item[:6] + ["xx"] + item[7:8] + ["yy"] + item[9:15])  # one equal word between two edits
+    edited.append(item[:6] + ["xx"] + item[6:7] + item[8:14])  # added, then dropped
+    assert [d for d, _, _ in index.leaks([around(x) for x in edited])] == list(range(len(edited)))
+    assert not list(index.leaks([around(x) for x in (item[:6], item[:11], item[:5] + ["xx", "yy"] + item[7:12], r.sample(item, 40))]))
