@@ -93,3 +93,23 @@ def test_held_out_samples():
         got = langid.Detector(model).segments([t for _, _, t in held])
         right += sum(len(s) == 1 and s[0][2] == lang for (_, lang, _), s in zip(held, got, strict=True))
     assert right / len(rows) >= 0.99
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001/lang_samples.parquet"), reason="no test data")
+def test_held_out_mixtures():
+    """Stretches of 8 to 12 words of held-out samples, inside a sentence and between two; texts in one language stay whole."""
+    rows = sorted(duckdb.sql("SELECT sample_id, lang, text FROM '/root/testdata/sf0.001/lang_samples.parquet'").fetchall())
+    model = langid.Model([(lang, t) for i, (_, lang, t) in enumerate(rows) if i % 2])
+    words = {lang: [w for i, (_, x, t) in enumerate(rows) if i % 2 == 0 and x == lang for w in langid.running_words(t)] for lang in BASE}
+    r = random.Random(13)
+
+    def part(lang, n):
+        at = r.randrange(len(words[lang]) - n)
+        return " ".join(words[lang][at : at + n])
+
+    cases = [(a, b, sign) for sign in (". ", " ") for _ in range(150) for a, b in [r.sample(sorted(BASE), 2)]]
+    got = langid.Detector(model).segments([sign.join((part(a, 30), part(b, r.randint(8, 12)), part(a, 30))) for a, b, sign in cases])
+    found = [{x[2] for x in s} == {a, b} for (a, b, _), s in zip(cases, got, strict=True)]
+    assert np.mean(found[:150]) >= 0.8 and np.mean(found[150:]) >= 0.5
+    whole = langid.Detector(model).segments([part(a, 60) for a, _, _ in cases])
+    assert np.mean([len(s) > 1 for s in whole]) <= 0.02
