@@ -26,7 +26,7 @@ from lexshift.llm.canon import canonical
 #: Labelled texts and characters of each that the machines are fitted on.
 MAX_SAMPLES, MAX_SAMPLE_CHARS = 5000, 5000
 #: Running words from which on a stretch in another language counts, and that a document must have.
-MIN_STRETCH, MIN_WORDS = 8, 2
+MIN_STRETCH, MIN_WORDS = 8, 1
 #: Cost of a change of language, in nats, between two words of a sentence and between sentences, and how much a word's score weighs against it; fitted on held-out mixtures of the labelled samples.
 SWITCH, SWITCH_AT_END, TEMPER = 7.0, 4.0, 0.5
 #: n-gram lengths; words kept scored by a task.

@@ -113,3 +113,8 @@ def test_held_out_mixtures():
     assert np.mean(found[:150]) >= 0.8 and np.mean(found[150:]) >= 0.5
     whole = langid.Detector(model).segments([part(a, 60) for a, _, _ in cases])
     assert np.mean([len(s) > 1 for s in whole]) <= 0.02
+
+
+def test_one_word(model):
+    got = langid.Detector(model).segments(["Fenestras!", "12 fenestras 3", "12"])
+    assert [[x[:3] for x in s] for s in got] == [[(0, 1, "lat")], [(0, 1, "lat")], []]
