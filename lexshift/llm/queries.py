@@ -34,6 +34,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.found(table(spark, folder, "substitutes"))
 
 
+def p3_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    mentions = one_per_key(table(spark, folder, "substitutes").select("term", "line_id", "token_index", "top_terms"), "term", "line_id", "token_index")
+    return pairs.item_pairs(mentions, "top_terms", 1, 0)
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     parts = [canon.same_looking_pairs(table(spark, folder, tab), "id", field).select(F.lit(tab).alias("tab"), "id_a", "id_b") for tab, field in (("coha_tokens", "text"), ("matching", "lemmas"))]
     return parts[0].union(parts[1])
@@ -68,7 +73,7 @@ def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_term_counts, p3_found, p4_found, p5_sample_mentions, p5_sample_token_lists, p6_pack, p7_found, p8_found, p8_segments)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_term_counts, p3_found, p3_pairs, p4_found, p5_sample_mentions, p5_sample_token_lists, p6_pack, p7_found, p8_found, p8_segments)}
 
 
 _COUNTS = """
