@@ -121,7 +121,7 @@ def _stopwords(spark: SparkSession, folder: str, lang: str | None = "eng") -> Da
 
 def _subs(spark: SparkSession, folder: str) -> DataFrame:
     given = one_per_key(table(spark, folder, "substitutes").select("term", "line_id", "token_index", "top_terms"), "term", "line_id", "token_index")
-    labels = one_per_key(table(spark, folder, "coha_tokens").select(F.col("id").alias("line_id"), F.col("corpus_group").alias("corpus")), "line_id")
+    labels = table(spark, folder, "coha_tokens").select(F.col("id").alias("line_id"), F.col("corpus_group").alias("corpus")).dropDuplicates(["line_id"])
     return given.join(labels, "line_id").select("term", F.col("line_id").alias("id"), F.col("token_index").alias("pos"), "corpus", "top_terms")
 
 

@@ -2,20 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexshift.workdir import cut
+
+#: Keys that occur more than once, up to which they are sent to every task as 64-bit hashes.
+REPEATED_KEYS = 1_000_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def one_per_key(df: DataFrame, *keys: str) -> DataFrame:
+def one_per_key(df: DataFrame, *keys: str, limit: int = REPEATED_KEYS) -> DataFrame:
     """One row per key, for tables whose repeated rows agree in the columns kept here.
 
     Spark keeps one row per key on the map side already, so a key that holds a third of all rows arrives as one row
-    per input partition.
+    per input partition. NULL is a key like any other.
+    """
+    apart, again = parted(df, *keys, limit=limit)
+    return again.dropDuplicates(list(keys)) if apart is None else apart.unionByName(again.dropDuplicates(list(keys)))
+
+
+def parted(df: DataFrame, *keys: str, limit: int = REPEATED_KEYS) -> tuple[DataFrame | None, DataFrame]:
+    """The rows whose key is certainly met once, and all others, so that only those need be shuffled to find repeats.
+
+    Only the keys are read and shuffled to find those that repeat. If these are at most ``limit`` (measured), their
+    hashes are broadcast, 8 bytes each; two keys with one hash merely go with the others. Beyond the limit no row is known to
+    be met once (None): all of them take the long way.
     """
-    return df.dropDuplicates(list(keys))
+    hashed: Column = F.xxhash64(*(F.col(quoted(k)) for k in keys))
+    again = cut(df.select(hashed.alias("key")).groupBy("key").count().where("count > 1").select("key"))
+    if again.count() > limit:
+        return None, df
+    known = F.broadcast(again.select(F.col("key").alias("_again")))
+    return df.join(known, hashed == F.col("_again"), "left_anti"), df.join(known, hashed == F.col("_again"), "left_semi")
 
 
 def quoted(name: str) -> str:
