@@ -2,38 +2,51 @@
 
 Texts are brought to words that do not depend on case, punctuation, markup, line layout or look-alike characters. Fixed
 masks select four of up to five running words; the hash covers the selected words only, so that a changed, added or
-dropped word between them on either side leaves it as it was. The hashes of the items, in blocks of bounded size, go to
-every task, are joined with those of all documents, and around each hit the passage is verified word by word, passing
-over single changed, added and dropped words.
+dropped word between them on either side leaves it as it was.
+
+The documents are read once. A Bloom filter of the items' seeds, of bounded size, goes to that pass; only the surroundings
+of seeds that it lets through are written. Their seeds are joined with those of the items on the hash, hot hashes being
+split, and around each hit the passage is verified word by word, passing over single changed, added and dropped words.
 """
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexshift.llm.canon import canonical
+from lexshift.workdir import bytes_of, cut
 
 #: Offsets of the words that a seed selects.
 MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 2, 4))
 #: Running words of an item that make a case, how many of them unchanged; wording of so many words in so many items does not count.
 MIN_RUN, MIN_EQUAL, SHARED_WORDS, SHARED_ITEMS = 12, 9, 6, 3
-#: Characters of items that go to the tasks at once.
-BLOCK_CHARS = 8_000_000
+#: Words on either side of a seed that go on to be verified. A passage that goes on beyond them without a seed is a case by the words within.
+REACH = 48
+#: The filter's bits for each seed of the items, and the power of two that it never exceeds (32 MB); hash functions.
+SEED_BITS, MOST_BITS, LOOKS = 64, 28, 4
+#: Bytes of a written table up to which it is broadcast to be joined; rows of one key from which on they are spread over tasks, and how many such keys there are at most.
+BROADCAST_BYTES, HOT_ROWS, HOT_KEYS = 4_000_000, 100_000, 10_000
+#: Characters of documents that are looked at together, words that are hashed together, words that a task remembers.
+BATCH_CHARS, BATCH_WORDS, MEMORY = 2_000_000, 500_000, 1_000_000
 #: Letters and how they are written without the accent.
 FOLDED = {"ä": "ae", "æ": "ae", "ö": "oe", "œ": "oe", "ø": "oe", "ü": "ue", "å": "aa", "ß": "ss", "ſ": "s"}
 
 _FOLD = str.maketrans(FOLDED)
-_NOISE = re.compile(r"<[^<>\n]{0,200}>|\[\s*\d+\s*\]|&[a-z]{2,6};")
+_NOISE = re.compile(r"</?[A-Za-z!?][^<>]*>|\[\s*\d+\s*\]")
 _BROKEN = re.compile(r"(?<=\w)[-¬] ?\n+(?=\w)")
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -41,8 +54,11 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 def words(text: str | None) -> list[str]:
     """The words of a text, levelled; words broken at a line's end are joined."""
+    text = text or ""
+    if "&" in text:
+        text = html.unescape(text)
     text = canonical(text) or ""
-    if "<" in text or "[" in text or "&" in text:
+    if "<" in text or "[" in text:
         text = _NOISE.sub(" ", text)
     if "\n" in text:
         text = _BROKEN.sub("", text)
@@ -54,24 +70,70 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text)
 
 
-def seeds(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and their places in an array of word numbers; negative numbers are in no seed."""
-    keys, places = [], []
-    for mask in MASKS:
-        n = len(ids) - mask[-1]
-        if n <= 0:
-            continue
-        good = np.ones(n, bool)
-        for o in mask:
-            good &= ids[o : o + n] >= 0
-        at = np.flatnonzero(good)
-        h = np.zeros(len(at), np.uint64)
-        for o in mask:
-            h = (h ^ ids[at + o].astype(np.uint64)) * _MIX
-            h ^= h >> np.uint64(29)
-        keys.append(h)
-        places.append(at)
-    return (np.concatenate(keys), np.concatenate(places)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
+class Numbers(dict):
+    """Words as whole numbers of 63 bits, by hash; remembers those met before."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > MEMORY:
+            self.clear()
+        self[word] = n = xxhash.xxh3_64_intdigest(word) >> 1
+        return n
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def seeds(ids: np.ndarray, known: Filter | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and their places in an array of word numbers, those that ``known`` lets through; negative numbers are in no seed."""
+    keys, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for start in range(0, len(ids), BATCH_WORDS):
+        for mask in MASKS:
+            n = min(len(ids) - mask[-1] - start, BATCH_WORDS)
+            if n <= 0:
+                continue
+            good = np.ones(n, bool)
+            h = np.zeros(n, np.uint64)
+            for o in mask:
+                part = ids[start + o : start + o + n]
+                good &= part >= 0
+                h = (h ^ part.view(np.uint64)) * _MIX
+                h ^= h >> np.uint64(29)
+            at = np.flatnonzero(good)
+            if known is not None:
+                at = at[known.holds(h[at])]
+            keys.append(h[at])
+            places.append(at + start)
+    return np.concatenate(keys), np.concatenate(places)
+
+
+class Filter:
+    """A Bloom filter of hashes; its bits are in an array of 64-bit words."""
+
+    def __init__(self, slots: np.ndarray) -> None:
+        self.slots, self.power = slots, int(len(slots)).bit_length() + 5
+
+    @staticmethod
+    def power_for(count: int) -> int:
+        return max(10, min(MOST_BITS, int(count * SEED_BITS - 1).bit_length()))
+
+    @staticmethod
+    def bits(keys: np.ndarray, power: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each hash function the slots and the bits in them."""
+        h = keys
+        for _ in range(LOOKS):
+            at = h >> np.uint64(64 - power)
+            yield (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+            h = (h ^ (h >> np.uint64(31))) * _MIX
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        left, h = np.arange(len(keys)), keys
+        for k in range(LOOKS):
+            at = h >> np.uint64(64 - self.power)
+            there = (self.slots[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+            left, h = left[there], h[there]
+            if k + 1 < LOOKS:
+                h = (h ^ (h >> np.uint64(31))) * _MIX
+        return left
 
 
 def grown(doc: list[int], item: list[int], k: int, j: int) -> tuple[int, int, int, int, int]:
@@ -105,56 +167,23 @@ def grown(doc: list[int], item: list[int], k: int, j: int) -> tuple[int, int, in
     return lo_k, hi_k + 1, lo_j, hi_j + 1, left + right - 1
 
 
-class Index:
-    """The seeds of a block of items. items: id, words, places that do not count."""
-
-    def __init__(self, items: list[tuple[int, list[str], list[int]]]) -> None:
-        self.vocabulary: dict[str, int] = {}
-        self.ids = [i for i, _, _ in items]
-        self.items: list[list[int]] = []
-        for _, ws, shared in items:
-            numbers = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws]
-            for p in shared:
-                numbers[p] = -2
-            self.items.append(numbers)
-        found = [seeds(np.array(x, np.int64)) for x in self.items]
-        keys = np.concatenate([k for k, _ in found] or [np.empty(0, np.uint64)])
-        owner = np.concatenate([np.full(len(k), i) for i, (k, _) in enumerate(found)] or [np.empty(0, np.int64)])
-        place = np.concatenate([p for _, p in found] or [np.empty(0, np.int64)])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.owner, self.place = keys[order], owner[order], place[order]
-
-    def leaks(self, texts: list[str | None]) -> Iterator[tuple[int, int, int]]:
-        """Of each text its number, the item's id, and the most running words of it that the text holds."""
-        get = self.vocabulary.get
-        docs = [[get(w, -1) for w in words(t)] for t in texts]
-        gap = [-1] * 8
-        flat = np.fromiter((x for d in docs for part in (d, gap) for x in part), np.int64)
-        starts = np.cumsum([0, *(len(d) + len(gap) for d in docs)])
-        keys, places = seeds(flat)
-        if not len(self.keys) or not len(keys):
-            return
-        low = np.searchsorted(self.keys, keys)
-        hit = self.keys[np.minimum(low, len(self.keys) - 1)] == keys
-        keys, places, low = keys[hit], places[hit], low[hit]
-        high = np.searchsorted(self.keys, keys, "right")
-        of = np.searchsorted(starts, places, "right") - 1
-        by: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for d, p, a, b in zip(of.tolist(), (places - starts[of]).tolist(), low.tolist(), high.tolist(), strict=True):
-            for x in range(a, b):
-                by[d, int(self.owner[x])].append((p, int(self.place[x])))
-        for (d, i), hits in by.items():
-            best, done = 0, set()
-            for k, j in sorted(hits):
-                if docs[d][k] != self.items[i][j] or (k, j) in done:
-                    continue
-                lo_k, hi_k, lo_j, hi_j, equal = grown(docs[d], self.items[i], k, j)
-                if hi_k - lo_k == hi_j - lo_j:
-                    done.update(zip(range(lo_k, hi_k), range(lo_j, hi_j), strict=True))
-                if hi_j - lo_j >= MIN_RUN and equal >= MIN_EQUAL:
-                    best = max(best, hi_j - lo_j)
-            if best:
-                yield d, self.ids[i], best
+def longest(doc: list[int], item: list[int], hits: list[tuple[int, int]]) -> int:
+    """The most running words of the item around the hits (place in the text, in the item) that make a case, else 0."""
+    best, done = 0, set()
+    for k, j in sorted(set(hits)):
+        if (k, j) in done or not doc[k] == item[j] >= 0:
+            continue
+        lo_k, hi_k, lo_j, hi_j, equal = grown(doc, item, k, j)
+        if hi_k - lo_k == hi_j - lo_j:
+            done.update(zip(range(lo_k, hi_k), range(lo_j, hi_j), strict=True))
+        if hi_j - lo_j >= MIN_RUN and equal >= MIN_EQUAL:
+            best = max(best, hi_j - lo_j)
+    return best
+
+
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    flat = np.concatenate(values) if values else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(flat, kind))
 
 
 def item_words(items: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -172,34 +201,141 @@ def item_words(items: DataFrame, item_id: str, text: str) -> DataFrame:
     return ws.join(places, "item_id", "left").select("item_id", "words", F.coalesce("shared", F.array().cast("array<int>")).alias("shared"))
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def numbered(known: DataFrame) -> DataFrame:
+    """``item_id, words`` with words as numbers, -2 where wording is shared."""
+    shape = known.select("item_id").schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ", 1) + ", words array<bigint>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Numbers()
+        for b in batches:
+            made = []
+            for ws, shared in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                numbers = memory.of(ws)
+                numbers[np.array(shared, np.int64)] = -2
+                made.append(numbers)
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(made, pa.int64())], names=["item_id", "words"])
+
+    return known.select("item_id", "words", "shared").mapInArrow(run, shape)
+
+
+def item_seeds(items: DataFrame) -> DataFrame:
+    """``item_id, key, at``: the seeds of numbered items and their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                keys, places = seeds(np.array(b.column(1)[i].values, np.int64))
+                owner = b.column(0).take(pa.array(np.full(len(keys), i)))
+                yield pa.RecordBatch.from_arrays([owner, pa.array(keys.view(np.int64)), pa.array(places, pa.int32())], names=["item_id", "key", "at"])
+
+    return items.select("item_id", "words").mapInArrow(run, "item_id " + items.schema["item_id"].dataType.simpleString() + ", key bigint, at int")
+
+
+def filter_of(seeds: DataFrame) -> Filter:
+    """The filter of all seeds, at most 2 ** MOST_BITS bits; what comes to the driver are its slots."""
+    power = Filter.power_for(seeds.count())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for slots, bits in Filter.bits(b.column(0).to_numpy().view(np.uint64), power):
+                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(bits.view(np.int64))], names=["slot", "bits"])
+
+    got = seeds.select("key").mapInArrow(run, "slot bigint, bits bigint").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    slots = np.zeros(1 << (power - 6), np.uint64)
+    slots[got.column("slot").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return Filter(slots)
+
+
+def surroundings(texts: list[str | None], known: Filter, memory: Numbers) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Around the seeds of the texts that the filter lets through: the text's number, the words, and the seeds with their places in these.
+
+    Places closer than twice REACH share one stretch, so each seed has REACH words on either side, or those the text has.
+    """
+    gap = np.full(REACH, -1)
+    docs = [memory.of(words(t)) for t in texts]
+    if not docs:
+        return
+    flat = np.concatenate([x for d in docs for x in (d, gap)])
+    starts = np.cumsum([0, *(len(d) + REACH for d in docs)])
+    keys, places = seeds(flat, known)
+    order = np.argsort(places, kind="stable")
+    keys, places = keys[order], places[order]
+    of = np.searchsorted(starts, places, "right") - 1
+    cuts = np.flatnonzero((np.diff(places) > 2 * REACH) | (np.diff(of) > 0)) + 1
+    for ks, ps, n in zip(np.split(keys, cuts), np.split(places, cuts), np.split(of, cuts), strict=True):
+        if len(ks):
+            a, b = starts[n[0]], starts[n[0] + 1] - REACH
+            low = max(a, ps[0] - REACH)
+            yield int(n[0]), flat[low : min(b, ps[-1] + REACH + MASKS[0][-1] + 2)], ks.view(np.int64), ps - low
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices whose texts (second column) have about BATCH_CHARS characters, or a single row with more."""
+    for b in batches:
+        total = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            before = total[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(total, before + BATCH_CHARS, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
+def spread_join(many: DataFrame, few: DataFrame, key: str, broadcast_bytes: int = BROADCAST_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``many`` joined with the written table ``few`` on ``key``.
+
+    A table of at most ``broadcast_bytes`` is broadcast. Otherwise keys with more than ``hot_rows`` rows in ``many`` are
+    spread over as many tasks as their rows need, ``few`` being repeated for these keys only. There are at most HOT_KEYS
+    of them, as the bound rises with the number of all rows.
+    """
+    if bytes_of(few) <= broadcast_bytes:
+        return many.join(F.broadcast(few), key)
+    most = max(hot_rows, many.count() // HOT_KEYS)
+    hot = cut(many.groupBy(key).count().where(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("shares")))
+    if hot.isEmpty():
+        return many.join(few, key)
+    hot = F.broadcast(hot)
+    plain = [c for c in many.columns if c != key and not isinstance(many.schema[c].dataType, T.ArrayType)]
+    share = F.coalesce(F.pmod(F.xxhash64(*plain), F.col("shares")), F.lit(0)).cast("int")  # by hash, so the same when a task is repeated
+    left = many.join(hot, key, "left").withColumn("share", share).drop("shares")
+    right = few.join(hot, key, "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
+    return left.join(right, [key, "share"]).drop("share")
+
+
+def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``doc_id, item_id, run``: the documents that hold at least MIN_RUN running words of an item, and the longest run.
 
     Every document is its own case, copies too; repeated rows of one document id count once, as do those of an item.
     NULL, empty and blank texts match nothing, very long ones are searched whole, an empty table gives no rows; only the
-    named columns are read, so others cannot clash. Items go to the tasks in blocks of about ``block_chars``, however many
-    there are; each block takes one pass over the documents.
+    named columns are read, so others cannot clash. A run is followed at most REACH words beyond its outermost seed.
+    However many items there are, the documents are read once and the driver holds the slots of the filter only.
     """
-    total = items.select(F.coalesce(F.sum(F.length(f"`{item_text}`")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(total) // block_chars))
-    known = item_words(items, item_id, item_text).withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
+    known = cut(numbered(item_words(items, item_id, item_text)))
+    own = cut(item_seeds(known))
+    sieve = documents.sparkSession.sparkContext.broadcast(filter_of(own).slots)
     docs = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{doc_text}`").alias("text")).where("text IS NOT NULL")
-    schema = "doc_id " + docs.schema["doc_id"].dataType.simpleString() + ", item_id " + known.schema["item_id"].dataType.simpleString() + ", run int"
-    passes = []
-    for b in range(blocks):
-        index = Index(sorted((r.item_id, list(r.words), list(r.shared)) for r in known.where(F.col("block") == b).collect()))
-
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch.column(0)
-                for at in range(0, batch.num_rows, 1000):
-                    got = list(index.leaks(batch.column(1).slice(at, 1000).to_pylist()))
-                    if got:
-                        d, i, n = zip(*got, strict=True)
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array([at + x for x in d])), pa.array(i), pa.array(n, pa.int32())], names=["doc_id", "item_id", "run"])
-
-        passes.append(docs.mapInArrow(run, schema))
-    out = passes[0]
-    for p in passes[1:]:
-        out = out.union(p)
-    return out.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"))
+    doc_type, item_type = docs.schema["doc_id"].dataType.simpleString(), known.schema["item_id"].dataType.simpleString()
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed, memory, made = Filter(sieve.value), Numbers(), TaskContext.get().partitionId() << 40  # numbers of stretches
+        for b in _batches(batches):
+            got = list(surroundings(b.column(1).to_pylist(), passed, memory))
+            if got:
+                n, ws, ks, ps = zip(*got, strict=True)
+                columns = [pa.array(np.arange(made, made + len(n))), b.column(0).take(pa.array(n)), _lists(list(ws), pa.int64()), _lists(list(ks), pa.int64()), _lists(list(ps), pa.int32())]
+                made += len(n)
+                yield pa.RecordBatch.from_arrays(columns, names=["stretch", "doc_id", "doc_words", "keys", "places"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
+            doc, item, places, ats = (b.column(i).to_pylist() for i in range(2, 6))
+            runs = np.array([longest(d, i, list(zip(p, a, strict=True))) for d, i, p, a in zip(doc, item, places, ats, strict=True)], np.int32)
+            good = np.flatnonzero(runs)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(good)), b.column(1).take(pa.array(good)), pa.array(runs[good])], names=["doc_id", "item_id", "run"])
+
+    found = cut(docs.mapInArrow(look, f"stretch bigint, doc_id {doc_type}, doc_words array<bigint>, keys array<bigint>, places array<int>"))
+    hits = found.select("stretch", F.explode(F.arrays_zip("keys", "places")).alias("hit")).select("stretch", "hit.keys", "hit.places").toDF("stretch", "key", "place")
+    both = spread_join(hits, own, "key", broadcast_bytes, hot_rows).groupBy("stretch", "item_id").agg(F.collect_list(F.struct("place", "at")).alias("hits"))
+    texts = both.join(found.select("stretch", "doc_id", "doc_words"), "stretch")
+    full = spread_join(texts, known, "item_id", broadcast_bytes, hot_rows).select("doc_id", "item_id", "doc_words", "words", "hits.place", "hits.at")
+    return full.mapInArrow(verify, f"doc_id {doc_type}, item_id {item_type}, run int").groupBy("doc_id", "item_id").agg(F.max("run").alias("run"))
