@@ -62,14 +62,16 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
 
+def _languages(spark: SparkSession, folder: str) -> langid.Model:
+    return langid.fit(table(spark, folder, "lang_samples"), documents=table(spark, folder, "documents"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    model = langid.fit(table(spark, folder, "lang_samples"))
-    return langid.wrong_labels(table(spark, folder, "documents"), model)
+    return langid.wrong_labels(table(spark, folder, "documents"), _languages(spark, folder))
 
 
 def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
-    model = langid.fit(table(spark, folder, "lang_samples"))
-    return langid.segments(table(spark, folder, "documents"), model)
+    return langid.segments(table(spark, folder, "documents"), _languages(spark, folder))
 
 
 def queries() -> dict[str, Query]:

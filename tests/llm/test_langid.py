@@ -1,5 +1,6 @@
 import os
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -62,10 +63,40 @@ def test_plain_letters(model):
     assert got[0][0][2] == "ger"
 
 
-def test_stretches():
-    path = np.array([0] * 10 + [1] * 3 + [0] * 10 + [2] * 8)
-    assert langid.stretches(path, 8) == [(0, 23, 0), (23, 31, 2)]
-    assert langid.stretches(np.array([1, 0, 2]), 8) == [(0, 3, langid.stretches(np.array([1, 0, 2]), 8)[0][2])]
+def best_stretches(emit, cost, least):
+    """The best sum over all ways to cut into stretches of ``least`` words at least, tried one by one."""
+    n = len(emit)
+
+    def ways(at):
+        if at == 0 or n - at >= least:
+            yield [n]
+        for to in range(at + least, n - least + 1):
+            yield from ([to, *rest] for rest in ways(to))
+
+    def worth(cuts):
+        total, at, last = -np.inf, 0, None
+        for to in cuts:
+            here = emit[at:to].sum(0)
+            total = here if last is None else last.max() - cost[at] + here
+            last, at = total, to
+        return last.max()
+
+    return max(map(worth, ways(0)))
+
+
+def test_paths_like_brute_force(model):
+    r = np.random.default_rng(21)
+    detector = langid.Detector(model)
+    detector.emit = np.log(r.dirichlet(np.full(4, 0.5), 500))
+    docs = [r.integers(0, 500, n) for n in (30, 8, 16, 17, 25, 36)]
+    docs[0] = np.repeat(docs[0][:3], 10)
+    ends = [r.random(len(d)) < 0.3 for d in docs]
+    for d, e, found in zip(docs, ends, detector.paths(docs, ends), strict=True):
+        emit, cost = detector.emit[d], np.where(e, langid.SWITCH_AT_END, langid.SWITCH)
+        assert found[0][0] == 0 and found[-1][1] == len(d) and all(a[1] == b[0] for a, b in zip(found, found[1:]))
+        assert len(found) == 1 or min(b - a for a, b, _ in found) >= langid.MIN_STRETCH
+        got = sum(emit[a:b, x].sum() for a, b, x in found) - sum(cost[a] for a, _, _ in found[1:])
+        assert np.isclose(got, best_stretches(emit, cost, langid.MIN_STRETCH))
 
 
 def test_wrong_labels(spark, model):
@@ -118,3 +149,100 @@ def test_held_out_mixtures():
 def test_one_word(model):
     got = langid.Detector(model).segments(["Fenestras!", "12 fenestras 3", "12"])
     assert [[x[:3] for x in s] for s in got] == [[(0, 1, "lat")], [(0, 1, "lat")], []]
+
+
+def test_two_factors_are_the_matrix():
+    r = np.random.default_rng(7)
+    words = [r.choice(30, r.integers(1, 9)).tolist() for _ in range(20)]
+    samples = [r.integers(0, 20, r.integers(1, 9)).tolist() for _ in range(25)]
+    sizes = [len(w) + 2 for w in words]
+    rows = langid.Rows(samples, words, sizes, 31)
+    full = np.zeros((25, 31))
+    for row, ws in zip(full, samples, strict=True):
+        for w in ws:
+            for c in words[w]:
+                row[c] += 1 / np.sqrt(sizes[w]) / len(ws)
+        row[-1] += 0.1
+    v, u = r.normal(size=31), r.normal(size=25)
+    v[-1] = 2.0
+    assert np.allclose(rows @ v, full @ v) and np.allclose(rows.back(u), full.T @ u)
+    assert np.allclose(rows.squares(7), (full**2).sum(1))
+
+
+def test_the_family_is_decided_first(model):
+    names = model.langs
+    logs = np.log(np.array([[0.28, 0.27, 0.4, 0.05]]))  # eng, ger, lat, swe: the most likely language is of the less likely family
+    assert names == ["eng", "ger", "lat", "swe"] and names[model.choice(logs)[0]] == "eng"
+
+
+def test_a_fifth_language(spark):
+    r = random.Random(15)
+    fifth = "kuningas vanha talo joki metsä yksi kaksi kolme sanoi että hän oli myös kun niin".split()
+    rows = [(lang, text(r, lang, 90)) for lang in BASE for _ in range(6)] + [("fin", " ".join(r.choice(fifth) for _ in range(90))) for _ in range(6)]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert model.langs == ["eng", "fin", "ger", "lat", "swe"]
+    docs = [(1, "vanha kuningas sanoi että hän oli talo", "FIN"), (2, "metsä joki yksi kaksi kolme sanoi", None), (3, text(r, "eng", 20), "fin")]
+    got = sorted(map(tuple, langid.wrong_labels(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), model).collect()))
+    assert got == [(2, "fin"), (3, "eng")]
+
+
+def test_whole_texts_are_candidates(spark):
+    """Words that stand only at the end of very long samples are learnt; the bound holds for passages."""
+    r = random.Random(16)
+    rows = [(lang, text(r, lang, 3000) + (" thwysh thwyng wythes thwes" * 100 if lang == "lat" else "")) for lang in BASE]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    assert langid.Detector(langid.fit(df)).segments(["wythes thwysh thwyng"])[0][0][2] == "lat"
+    assert len(langid.fit(df, most=40).langs) == 4
+
+
+def test_documents_add_words(spark):
+    """Words that only documents have are learnt from those whose label agrees; wrong labels and labels of no language are left out."""
+    r = random.Random(20)
+    samples = spark.createDataFrame([(lang, text(r, lang, 60)) for lang in BASE for _ in range(6)], "lang string, text string")
+    own = {"eng": "thwysh thwyng wythes thwes", "lat": "quorius quoribus quorium quorantur"}
+    docs = [(k, text(r, lang, 12) + " " + " ".join(r.choice(own[lang].split()) for _ in range(8)), label) for k, (lang, label) in enumerate([("eng", "en"), ("lat", "Latin"), ("eng", "de"), ("lat", None)] * 20)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    got = [langid.Detector(langid.fit(samples, documents=d)).segments(["thwysh wythes thwes", "quoribus quorium"]) for d in (df, df.repartition(5), df.limit(0))]
+    assert [[x[0][2] for x in g] for g in got[:2]] == [["eng", "lat"]] * 2 and got[0] == got[1] and all(got[2])
+
+
+def test_repeated_rows_with_other_labels(spark, model):
+    r = random.Random(17)
+    t = text(r, "eng", 20)
+    rows = [(1, t, "en"), (1, t, "de"), (2, t, "en"), (2, t, None), (3, t, "en"), (3, text(r, "lat", 20), "en")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = [sorted(map(tuple, langid.document_languages(df.repartition(n), model).select("doc_id", "language", "label", "n_languages").collect())) for n in (1, 3)]
+    assert got[0] == got[1] and [x[0] for x in got[0]] == [1, 2, 3]
+    assert got[0][0][1:] == ("eng", "eng", 1) and got[0][1][1:] == ("eng", None, 1)
+
+
+def test_known_features_are_few_in_other_languages(model):
+    got = langid.Detector(model).segments([text(random.Random(18), "eng", 20), "xqz wvv kkj qqx zzk"])
+    assert got[0][0][4] > 0.6 and got[1][0][4] < 0.4
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001/lang_samples.parquet"), reason="no test data")
+def test_confidence_is_calibrated():
+    """Over held-out stretches of 2 to 16 words, confidence and share of right languages differ little."""
+    rows = sorted(duckdb.sql("SELECT sample_id, lang, text FROM '/root/testdata/sf0.001/lang_samples.parquet'").fetchall())
+    model = langid.Model([(lang, t) for i, (_, lang, t) in enumerate(rows) if i % 2])
+    held = [(lang, ws[at : at + n]) for i, (_, lang, t) in enumerate(rows) if i % 2 == 0 for ws in [langid.running_words(t)] for n in (2, 4, 8, 16) for at in range(0, len(ws) - n + 1, n)]
+    got = [s[0] for s in langid.Detector(model).segments([" ".join(ws) for _, ws in held])]
+    sure = np.array([x[3] for x in got])
+    right = np.array([x[2] == lang for x, (lang, _) in zip(got, held, strict=True)])
+    bins = np.minimum((sure * 10).astype(int), 9)
+    error = sum(abs(sure[bins == b].mean() - right[bins == b].mean()) * (bins == b).mean() for b in range(10) if (bins == b).any())
+    assert error < 0.05
+
+
+def test_fitting_at_the_bound_takes_little_memory():
+    """As many full passages as the bound allows: nothing dense of samples by features is made."""
+    r = random.Random(19)
+    made = ["".join(r.choice("bdfgklmnprst") + r.choice("aeiouy") for _ in range(r.randint(2, 4))) for _ in range(4000)]
+    shares = {lang: made[k * 900 : k * 900 + 1300] for k, lang in enumerate(BASE)}
+    texts = [(lang, " ".join(r.choice(ws) for _ in range(langid.PASSAGE))) for lang, ws in shares.items() for _ in range(langid.MAX_SAMPLES // 4)]
+    tracemalloc.start()
+    model = langid.Model(texts, calibrated=False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.langs) == 4 and peak < 400e6
