@@ -74,11 +74,10 @@ def running_words(text: str | None) -> list[str]:
 
 def starts_of_sentences(text: str | None) -> np.ndarray:
     """Of each running word, whether the end of a sentence, a quotation or a paragraph stands before it."""
-    plain, last, out = cleaned(text), 0, []
-    for m in _WORD.finditer(plain):
-        out.append(_END.search(plain, last, m.start()) is not None)
-        last = m.end()
-    return np.array(out, bool)
+    plain = cleaned(text)
+    words = np.array([m.start() for m in _WORD.finditer(plain)], np.int64)
+    ends = np.searchsorted([m.start() for m in _END.finditer(plain)], words)  # ends before each word
+    return np.diff(ends, prepend=0) > 0
 
 
 def features(word: str) -> list[str]:
@@ -315,15 +314,18 @@ class Detector:
             return lang, np.exp(logs[np.arange(len(lang)), lang]), means[:, -1]
 
         main, sure, known = judged(starts[:-1], starts[1:])
-        # a text stays in its main language unless some stretch gains more than a change costs: the best stretch that
-        # ends at each word starts where the running sum of the lead over the main language was lowest
+        # a text stays in its main language unless some stretch of MIN_STRETCH words gains more than a change costs: the best
+        # stretch that ends at each word starts where the running sum of the lead over the main language was lowest
         flat, of = np.concatenate([d for _, d in docs]), np.repeat(np.arange(len(docs)), np.diff(starts))
         lead = self.emit[flat]
         lead = lead - lead[np.arange(len(flat)), main[of]][:, None]
         after = np.cumsum(lead, 0)
         apart = (np.abs(after).max() * 2 + 1) * of[:, None]  # sets the texts so far apart that each begins its own minimum
         lowest = np.minimum.accumulate(after - lead - apart, 0) + apart
-        mixed = np.maximum.reduceat((after - lowest).max(1), starts[:-1]) > SWITCH_AT_END
+        back, gain = MIN_STRETCH - 1, np.full(len(flat), -np.inf)
+        rest = max(0, len(flat) - back)
+        gain[back:] = np.where(of[back:] == of[:rest], (after[back:] - lowest[:rest]).max(1), -np.inf)
+        mixed = np.maximum.reduceat(gain, starts[:-1]) > SWITCH_AT_END
         mixed &= np.diff(starts) >= 2 * MIN_STRETCH
         for n, (i, d) in enumerate(docs):
             if not mixed[n]:
