@@ -7,7 +7,8 @@ into blocks by their ranks, so that conflicts at the bounds of the first blocks
 finds no gap there opens containers. After each superstep the gaps are updated, and the next class begins.
 
 Block bounds come from a histogram of sizes, which has at most as many rows as the capacity; a size that many items
-share is spread over several blocks. The state between supersteps is written to the shared folder.
+share is spread over several blocks. How many blocks there are depends on the rows only, never on settings of the session.
+What fits one block takes one superstep. The state between supersteps is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from lexshift.workdir import cut
 
 #: Tokens of a container; items of a block at most; where the public tokenizers' files are, and the one that measures.
-CAPACITY, BLOCK_ITEMS = 2048, 250_000
+CAPACITY, BLOCK_ITEMS = 2048, 10_000
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern by which that public vocabulary's text is cut before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -135,10 +136,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_IT
     """``id, size, container``: each item (``id`` string, unique; ``size`` from 1 to ``capacity``) in one container.
 
     Rows of another size raise, as they fit no container. The sizes of a container sum up to the capacity at most. A container has the id of the item that opened it.
-    An empty table gives no rows. The result does not depend on the order or partitions of the rows.
+    An empty table gives no rows. The result does not depend on the order or partitions of the rows, nor on settings.
     """
-    spark = items.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     todo = items.select(F.lit(0).alias("kind"), F.col("id").cast("string").alias("id"), F.col("size").cast("int").alias("size"))
     sizes = _histogram(todo)[0]
     if sizes and not (0 < min(sizes) and max(sizes) <= capacity):
@@ -147,31 +146,33 @@ def pack(items: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_IT
     opened = todo.where((F.col("size") * 2 > capacity) & (F.col("size") < capacity)).select(F.lit(1).alias("kind"), "id", (F.lit(capacity) - F.col("size")).alias("size"))
     gaps = {capacity - s: n for s, n in sizes.items() if s * 2 > capacity and s < capacity}
 
-    def blocks(items: dict[int, int], held: dict[int, int], low: int) -> int:
-        """So many that none has more than ``block_items`` rows, and that all cores have work."""
-        rows = sum(items.values()) + sum(n for s, n in held.items() if s > low)
-        return max(1, min(least, rows // 1000), -(-rows // block_items))
+    def rows(items: dict[int, int], held: dict[int, int], low: int) -> int:
+        return sum(items.values()) + sum(n for s, n in held.items() if s > low)
 
     high = capacity // 2
     while high > 0:
         low = 0 if high <= LEAST_CLASS else high // 2
+        if rows({s: n for s, n in sizes.items() if s <= high}, gaps, 0) <= block_items:
+            low = 0  # all that is left fits one block, and so takes one sweep
         own = {s: n for s, n in sizes.items() if low < s <= high}
         if own:
-            count = blocks(own, gaps, low)
-            out = _swept(todo.where((F.col("size") > low) & (F.col("size") <= high)).unionByName(opened.where(F.col("size") > low)), _blocks(own, count, high), capacity, False)
+            count = -(-rows(own, gaps, low) // block_items)
+            out = _swept(todo.where((F.col("size") > low) & (F.col("size") <= high)).unionByName(opened.where(F.col("size") > low)), _blocks(own, count, high), capacity, count == 1)
             states = [out]
             waiting = opened.where(F.col("size") <= low)
-            left = _histogram(out)
-            if left[0]:
-                wide = {s: n for s, n in left[1].items() if s > low}
-                rest = out.where("kind = 0").unionByName(out.where((F.col("kind") == 1) & (F.col("size") > low)))
-                count = blocks(left[0], wide, low)
-                block = F.when(F.col("kind") == 0, _blocks(left[0], count)).otherwise(_blocks(wide, count) if wide else F.lit(0))
-                waiting = waiting.unionByName(out.where((F.col("kind") == 1) & (F.col("size") <= low)).select("kind", "id", "size"))
-                states.append(_swept(rest.select("kind", "id", "size"), block, capacity, True))
+            if count > 1:
+                left = _histogram(out)
+                if left[0]:
+                    wide = {s: n for s, n in left[1].items() if s > low}
+                    rest = out.where("kind = 0").unionByName(out.where((F.col("kind") == 1) & (F.col("size") > low)))
+                    count = -(-rows(left[0], wide, low) // block_items)
+                    block = F.when(F.col("kind") == 0, _blocks(left[0], count)).otherwise(_blocks(wide, count) if wide else F.lit(0))
+                    waiting = waiting.unionByName(out.where((F.col("kind") == 1) & (F.col("size") <= low)).select("kind", "id", "size"))
+                    states.append(_swept(rest.select("kind", "id", "size"), block, capacity, True))
             placed += [s.where("kind = 2").select("id", "size", "container") for s in states]
-            opened = cut(waiting.unionByName(states[-1].where("kind = 1").select("kind", "id", "size")))
-            gaps = _histogram(opened)[1]
+            if low:
+                opened = cut(waiting.unionByName(states[-1].where("kind = 1").select("kind", "id", "size")))
+                gaps = _histogram(opened)[1]
         high = low
     result = placed[0]
     for p in placed[1:]:
@@ -183,11 +184,11 @@ def packed_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "
     """``doc_id, piece_no, first_token, n_tokens, container, position``: where the tokens of each document go.
 
     A document stays whole unless it alone is over the capacity; then it is cut into full containers and a rest, which
-    is packed like other items. Rows repeated under one id count once. NULL and empty texts have no tokens: they come
+    is packed like other items. Rows repeated under one id count once, the one with most tokens. NULL and empty texts have no tokens: they come
     out with ``n_tokens`` 0 and no container. An empty table gives no rows; only the named columns are read.
     """
     rows = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    measured = cut(rows.select("doc_id", F.coalesce(token_count(F.col("text"), tokenizer), F.lit(0)).alias("n")).dropDuplicates(["doc_id"]))
+    measured = cut(rows.select("doc_id", F.coalesce(token_count(F.col("text"), tokenizer), F.lit(0)).alias("n")).groupBy("doc_id").agg(F.max("n").alias("n")))
     pieces = measured.select("doc_id", F.explode(F.expr(f"sequence(0, cast(greatest(n - 1, 0) div {capacity} as int))")).alias("piece_no"), "n").select("doc_id", "piece_no", (F.col("piece_no") * F.lit(capacity).cast("bigint")).alias("first_token"), F.least(F.lit(capacity), F.col("n") - F.col("piece_no") * capacity).cast("int").alias("n_tokens"), F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "piece_no").alias("id"))
     inside = pack(pieces.where("n_tokens > 0").select("id", F.col("n_tokens").alias("size")), capacity).select("id", "container")
     before = F.sum("n_tokens").over(Window.partitionBy("container").orderBy(F.desc("n_tokens"), "id").rowsBetween(Window.unboundedPreceding, -1))
@@ -195,3 +196,18 @@ def packed_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "
     names = ["doc_id", "piece_no", "first_token", "n_tokens", "container", "position"]
     none = pieces.where("n_tokens = 0").select(*names[:4], F.lit(None).cast("string").alias("container"), F.lit(None).cast("int").alias("position"))
     return full.select(*names).unionByName(none)
+
+
+def faults(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row about the result of ``packed_documents``: ``documents``, and counts of what must not be.
+
+    ``overfull`` containers; ``untiled`` ones, where positions leave holes or overlap; ``cut_needlessly``, documents in more
+    pieces than their size asks for; ``wasteful``, whether the containers are over 1 % more (and one) than full ones would be.
+    """
+    packed = cut(packed)
+    boxes = packed.where("container IS NOT NULL").groupBy("container").agg(F.sum("n_tokens").alias("size"), F.max(F.col("position") + F.col("n_tokens")).alias("end"))
+    docs = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("size"), F.count("*").alias("pieces"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"))
+    of_boxes = boxes.agg(F.count_if(F.col("size") > capacity).alias("overfull"), F.count_if(F.col("size") != F.col("end")).alias("untiled"), (F.count("*") > F.ceil(F.coalesce(F.sum("size"), F.lit(0)) / capacity) * 1.01 + 1).alias("wasteful"))
+    of_docs = docs.agg(F.count("*").alias("documents"), F.count_if((F.col("pieces") > F.greatest(F.ceil(F.col("size") / capacity), F.lit(1))) | (F.col("size") != F.col("end"))).alias("cut_needlessly"))
+    both = of_docs.unionByName(of_boxes, allowMissingColumns=True)  # one row each
+    return both.agg(*(F.max(c).alias(c) for c in ("documents", "overfull", "untiled", "cut_needlessly", "wasteful")))

@@ -58,6 +58,10 @@ def p6_pack(spark: SparkSession, folder: str) -> DataFrame:
     return pack.packed_documents(table(spark, folder, "documents"))
 
 
+def p6_faults(spark: SparkSession, folder: str) -> DataFrame:
+    return pack.faults(p6_pack(spark, folder))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
@@ -75,7 +79,7 @@ def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_term_counts, p3_found, p3_pairs, p4_found, p5_sample_mentions, p5_sample_token_lists, p6_pack, p7_found, p8_found, p8_segments)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_term_counts, p3_found, p3_pairs, p4_found, p5_sample_mentions, p5_sample_token_lists, p6_pack, p6_faults, p7_found, p8_found, p8_segments)}
 
 
 _COUNTS = """
@@ -88,6 +92,7 @@ m AS (SELECT *, CASE WHEN occurrences < 20 OR records < 5 THEN 'rare' WHEN recor
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p6_faults": "SELECT count(DISTINCT doc_id)::BIGINT AS documents, 0::BIGINT AS overfull, 0::BIGINT AS untiled, 0::BIGINT AS cut_needlessly, false AS wasteful FROM documents",
         "p1_found": """
 SELECT DISTINCT id FROM coha_tokens
 WHERE CASE WHEN tokens IS NOT NULL THEN coalesce(list_sum(list_transform(tokens, lambda t: 1 + coalesce(length(t) - length(replace(t, '##', '')), 0) // 2)), 0) > 256 ELSE length(text) > 1200 END""",

@@ -67,3 +67,23 @@ def test_documents(spark):
             at += k
         assert at <= 512
     assert sum(r["container"] is None for r in rows) == 2
+
+
+def test_settings_of_the_session_change_nothing(spark):
+    r = random.Random(22)
+    df = spark.createDataFrame([(f"i{n}", min(100, int(r.expovariate(1 / 25)) + 1)) for n in range(5000)], "id string, size int")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (1, 4, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(sorted(map(tuple, pack.pack(df.repartition(n % 7 + 1), 100, 700).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] == got[2]
+
+
+def test_faults_are_seen(spark):
+    schema = "doc_id int, piece_no int, first_token bigint, n_tokens int, container string, position int"
+    good = [(1, 0, 0, 60, "a", 0), (2, 0, 0, 40, "a", 60), (3, 0, 0, 0, None, None), (4, 0, 0, 100, "b", 0), (4, 1, 100, 5, "c", 0)]
+    bad = [(1, 0, 0, 60, "a", 0), (2, 0, 0, 50, "a", 60), (4, 0, 0, 50, "b", 0), (4, 1, 50, 5, "c", 1)] + [(n, 0, 0, 1, f"x{n}", 0) for n in range(10, 20)]
+    assert [tuple(pack.faults(spark.createDataFrame(rows, schema), 100).first()) for rows in (good, bad)] == [(4, 0, 0, 0, False), (13, 1, 1, 1, True)]
