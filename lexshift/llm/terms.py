@@ -1,14 +1,15 @@
 """Problem 2: frequency of every distinct term, by recursive radix spilling.
 
 Every map task counts the terms of its records first. The partial counts go to disk partitioned by the leading bits of
-the terms' hash. The task of a partition spills what it gets by the next bits into the shared folder where it exceeds
-its memory, splits parts that are still too large by further bits, and aggregates each part out of core with DuckDB.
+the terms' hash. The task of a partition sums what it gets, spills it by the next bits into the shared folder where it
+exceeds its memory, splits parts that are still too large by further bits, and aggregates each part with DuckDB. A part is
+bounded in rows and bytes, so DuckDB's memory suffices; what is out of core are the parts. A part of one hash is summed as
+it is read and never split.
 """
 
 from __future__ import annotations
 
 import math
-import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from lexshift.tables import one_per_key
 from lexshift.workdir import shared_base
 
-#: Rows of partial counts that a part may hold to be aggregated at once; bits of each further split; rows counted before a map task compacts.
-PART_ROWS, SPLIT_BITS, COMPACT_ROWS = 1_000_000, 4, 500_000
+#: Rows and bytes of partial counts that a part may hold to be aggregated at once; bits of each further split; rows counted before a map task compacts.
+PART_ROWS, PART_BYTES, SPLIT_BITS, COMPACT_ROWS = 1_000_000, 64_000_000, 4, 500_000
+#: Schemes of file systems as Spark writes them and as Arrow does.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
 #: Marks: fewer occurrences or records are rare; a larger share of records, in percent, is common.
 MIN_COUNT, MIN_RECORDS, COMMON_PERCENT = 20, 5, 30
 
@@ -63,43 +66,52 @@ def partial_counts(batches: Iterator[pa.RecordBatch], compact: int = COMPACT_ROW
         yield from _summed(held).combine_chunks().to_batches()
 
 
-def _duck(reader: pa.RecordBatchReader, scratch: str) -> Iterator[pa.RecordBatch]:
-    """Sums by term, with a small memory and spill files in ``scratch``."""
+def _duck(part: pa.Table, scratch: str) -> Iterator[pa.RecordBatch]:
+    """Sums by term of a part of bounded size; where ``scratch`` is a mounted folder, DuckDB can spill there too."""
     import duckdb
 
-    con = duckdb.connect(config={"memory_limit": "300MB", "threads": "1", "temp_directory": scratch, "preserve_insertion_order": "false"})
+    con = duckdb.connect(config={"memory_limit": "400MB", "threads": "1", "temp_directory": scratch, "preserve_insertion_order": "false"})
     try:
-        part = con.from_arrow(reader)  # noqa: F841 (read by name in the query)
         yield from con.sql("SELECT term, sum(n)::BIGINT AS n, sum(r)::BIGINT AS r FROM part GROUP BY term").to_arrow_reader(100_000)
     finally:
         con.close()
 
 
-def radix_aggregate(batches: Iterator[pa.RecordBatch], scratch: str, used_bits: int, part_rows: int = PART_ROWS, bits: int = SPLIT_BITS) -> Iterator[pa.RecordBatch]:
+def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """Arrow's file system for a path as Spark writes it, and the path within."""
+    scheme, mark, rest = path.partition("://")
+    if scheme.startswith("dbfs:"):
+        return pa.fs.LocalFileSystem(), "/dbfs" + path.removeprefix("dbfs:")
+    return pa.fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + mark + rest)
+
+
+def radix_aggregate(batches: Iterator[pa.RecordBatch], scratch: str, used_bits: int, part_rows: int = PART_ROWS, bits: int = SPLIT_BITS, part_bytes: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
     """Sum partial counts (h, term, n, r) whose hashes ``h`` agree in the first ``used_bits``; output term, n, r.
 
     scratch: a path in the shared folder, made when needed and removed at the end; a repeated task uses another.
     """
-    fs, base = pa.fs.FileSystem.from_uri(scratch)
+    fs, base = file_system(scratch)
     base = f"{base}-{uuid.uuid4().hex}"
     try:
-        yield from _level(batches, fs, base, used_bits, part_rows, bits)
+        yield from _level(batches, fs, base, used_bits, part_rows, bits, part_bytes)
     finally:
-        if isinstance(fs, pa.fs.LocalFileSystem):
-            shutil.rmtree(base, ignore_errors=True)
-        elif fs.get_file_info(base).type != pa.fs.FileType.NotFound:
+        if fs.get_file_info(base).type != pa.fs.FileType.NotFound:
             fs.delete_dir(base)
 
 
-def _level(batches: Iterator[pa.RecordBatch], fs: pa.fs.FileSystem, base: str, used: int, most: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _compact(held: list[pa.RecordBatch]) -> pa.Table:
+    """One row a term."""
+    t = pa.Table.from_batches(held).group_by(["h", "term"]).aggregate([("n", "sum"), ("r", "sum")])
+    return t.select(["h", "term", "n_sum", "r_sum"]).rename_columns(["h", "term", "n", "r"])
+
+
+def _level(batches: Iterator[pa.RecordBatch], fs: pa.fs.FileSystem, base: str, used: int, most: int, bits: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows = size = 0
     writers: dict[int, pa.ipc.RecordBatchFileWriter] = {}
-    sizes: dict[int, int] = {}
 
-    def spill() -> None:
+    def spill(t: pa.Table) -> None:
         fs.create_dir(base, recursive=True)
-        t = pa.Table.from_batches(held)
         part = (t.column("h").to_numpy().astype(np.uint64) << np.uint64(used)) >> np.uint64(64 - bits)
         order = np.argsort(part, kind="stable")
         t, part = t.take(order), part[order]
@@ -108,28 +120,30 @@ def _level(batches: Iterator[pa.RecordBatch], fs: pa.fs.FileSystem, base: str, u
             if int(p) not in writers:
                 writers[int(p)] = pa.ipc.new_stream(fs.open_output_stream(f"{base}/{int(p)}"), t.schema)
             writers[int(p)].write_table(t.slice(a, b - a))
-            sizes[int(p)] = sizes.get(int(p), 0) + int(b - a)
-        held.clear()
 
     for b in batches:
         held.append(b)
-        rows += b.num_rows
-        if rows > most and used + bits <= 64:
-            spill()
-            rows = 0
-    local = base if isinstance(fs, pa.fs.LocalFileSystem) else ""
+        rows, size = rows + b.num_rows, size + b.nbytes
+        if rows > most or size > most_bytes:
+            t = _compact(held)
+            # what summing has halved stays; so do rows of one hash, and those whose bits are used up
+            if (t.num_rows > most // 2 or t.nbytes > most_bytes // 2) and used + bits <= 64 and pc.count_distinct(t.column("h")).as_py() > 1:
+                spill(t)
+                t = t.slice(0, 0)
+            held = t.combine_chunks().to_batches()
+            rows, size = t.num_rows, sum(x.nbytes for x in held)
     if not writers:
-        if held:
-            yield from _duck(pa.Table.from_batches(held).select(["term", "n", "r"]).to_reader(), f"{local}-duck" if local else "")
-            shutil.rmtree(f"{local}-duck", ignore_errors=True) if local else None
+        if rows:
+            mounted = isinstance(fs, pa.fs.LocalFileSystem)
+            yield from _duck(pa.Table.from_batches(held).select(["term", "n", "r"]), f"{base}/duck" if mounted else "")
         return
-    if held:
-        spill()
+    if rows:
+        spill(_compact(held))
     for w in writers.values():
         w.close()
     for p in writers:
         with pa.ipc.open_stream(fs.open_input_stream(f"{base}/{p}")) as part:
-            yield from _level(iter(part), fs, f"{base}/{p}-", used + bits, most, bits)
+            yield from _level(iter(part), fs, f"{base}/{p}-", used + bits, most, bits, most_bytes)
         fs.delete_file(f"{base}/{p}")
 
 

@@ -3,6 +3,7 @@ from collections import Counter
 from itertools import combinations
 
 import pyarrow as pa
+import pyarrow.fs
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +39,56 @@ def test_compaction():
     assert total["x"] == 50 and sum(total.values()) == 100
 
 
+def partial(terms_, rows):
+    """Batches of partial counts, hashes spread over 64 bits by term."""
+    r = random.Random(5)
+    of = {t: r.getrandbits(63) for t in terms_}
+    for _ in range(rows // 100):
+        ts = [r.choice(terms_) for _ in range(100)]
+        yield pa.RecordBatch.from_pydict({"h": pa.array([of[t] for t in ts], pa.int64()), "term": ts, "n": pa.array([2] * 100, pa.int64()), "r": pa.array([1] * 100, pa.int64())})
+
+
+@pytest.mark.parametrize(("kinds", "spills"), [(1, False), (20, False), (3000, True)])
+def test_parts_over_their_bound(tmp_path, monkeypatch, kinds, spills):
+    """One term, however many partial rows it has, is summed and never split; many terms go to disk and nothing stays there."""
+    made = []
+    monkeypatch.setattr(terms, "file_system", lambda path: (Watched(made), path.removeprefix("file://")))
+    names = [f"t{i}" for i in range(kinds)]
+    got = Counter()
+    for b in terms.radix_aggregate(partial(names, 20_000), f"file://{tmp_path}/x", 0, part_rows=500):
+        for row in b.to_pylist():
+            assert row["term"] not in got
+            got[row["term"]] += row["n"]
+    want = Counter(t for b in partial(names, 20_000) for t in b.column(1).to_pylist())
+    assert got == Counter({t: 2 * n for t, n in want.items()})
+    assert bool(made) == spills and not list(tmp_path.iterdir())
+
+
+class Watched:
+    """A local file system that notes the folders made."""
+
+    def __init__(self, made):
+        self.made, self.fs = made, pa.fs.LocalFileSystem()
+
+    def create_dir(self, path, **more):
+        self.made.append(path)
+        self.fs.create_dir(path, **more)
+
+    def __getattr__(self, name):
+        return getattr(self.fs, name)
+
+
+def test_parts_are_bounded_in_bytes(tmp_path):
+    long = [f"{i}-" + "x" * 2000 for i in range(400)]
+    got = [row for b in terms.radix_aggregate(partial(long, 4000), f"file://{tmp_path}/x", 0, part_bytes=100_000) for row in b.to_pylist()]
+    assert len(got) == 400 and sum(x["r"] for x in got) == 4000 and not list(tmp_path.iterdir())
+
+
+def test_file_systems(tmp_path):
+    assert terms.file_system("dbfs:/a/b")[1] == "/dbfs/a/b" and terms.file_system(f"file://{tmp_path}/x")[1] == f"{tmp_path}/x"
+    assert type(terms.file_system("s3a://bucket/x?region=us-east-1")[0]).__name__ == "S3FileSystem"
+
+
 def test_marks(spark):
     rows = [("rare1", 19, 19), ("rare2", 99, 4), ("mid", 20, 5), ("edge", 60, 30), ("common", 60, 31)]
     got = {r["term"]: r["mark"] for r in terms.marked(spark.createDataFrame(rows, "term string, occurrences bigint, records bigint"), 100).collect()}
