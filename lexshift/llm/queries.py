@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from lexshift.llm import canon, langid, leaks, pack, pairs, sample, split, terms
 from lexshift.tables import one_per_key, table
+from lexshift.workdir import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return split.oversized(table(spark, folder, "coha_tokens"))
+    """The ids of the rows that the operator cuts, from their pieces, which are written."""
+    return cut(p1_pieces(spark, folder)).where("n_pieces > 1").select("id").distinct()
 
 
 def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,6 +24,11 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split.split_oversized(rows)
 
 
+def p1_rejoined(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row put together again from its pieces."""
+    return split.rejoined(p1_pieces(spark, folder))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return terms.corpus_terms(table(spark, folder, "coha_tokens")).where("mark IS NOT NULL").select("term", "mark")
 
@@ -79,7 +86,7 @@ def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_term_counts, p3_found, p3_pairs, p4_found, p5_sample_mentions, p5_sample_token_lists, p6_pack, p6_faults, p7_found, p8_found, p8_segments)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_rejoined, p2_found, p2_term_counts, p3_found, p3_pairs, p4_found, p5_sample_mentions, p5_sample_token_lists, p6_pack, p6_faults, p7_found, p8_found, p8_segments)}
 
 
 _COUNTS = """
@@ -96,6 +103,10 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": """
 SELECT DISTINCT id FROM coha_tokens
 WHERE CASE WHEN tokens IS NOT NULL THEN coalesce(list_sum(list_transform(tokens, lambda t: 1 + coalesce(length(t) - length(replace(t, '##', '')), 0) // 2)), 0) > 256 ELSE length(text) > 1200 END""",
+        "p1_rejoined": """
+WITH r AS (SELECT id, any_value(tokens) AS tokens, any_value(text) AS text FROM coha_tokens GROUP BY id HAVING any_value(tokens) IS NOT NULL OR any_value(text) IS NOT NULL)
+SELECT id, CASE WHEN tokens IS NULL THEN 'text' ELSE 'tokens' END AS unit, true AS fits, true AS follows,
+  md5(CASE WHEN tokens IS NULL THEN text ELSE array_to_string(list_transform(tokens, lambda t: coalesce(replace(t, '##', ' ##'), '<null>')), ' ') END) AS whole FROM r""",
         "p2_found": _COUNTS + "SELECT term, mark FROM m WHERE mark IS NOT NULL",
         "p2_term_counts": _COUNTS + "SELECT term, occurrences, records, mark FROM m",
         "p3_found": """

@@ -114,7 +114,26 @@ def split_oversized(df: DataFrame, tokens: str = "tokens", text: str = "text", m
     return rows.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(_kept(df, tokens, text))), "piece_no", "n_pieces", F.when(F.col("has"), "tokens").otherwise("text").alias("unit"), "p.*")
 
 
-def oversized(df: DataFrame, key: str = "id") -> DataFrame:
-    """The keys, each once, of the rows that ``split_oversized`` cuts, found by its expression; the pieces themselves are not built."""
-    found = _matches(df.select(key, "tokens", "text"), "tokens", "text", (MAX_PIECES, PIECE_OVERLAP, MAX_CHARS, CHAR_OVERLAP))
-    return found.where(F.size("cores") > 1).select(F.col("c0").alias(key)).distinct()
+def rejoined(pieces: DataFrame, key: str = "id", limits: tuple[int, int, int, int] = (MAX_PIECES, PIECE_OVERLAP, MAX_CHARS, CHAR_OVERLAP)) -> DataFrame:
+    """What the pieces of each ``key`` (unique before the split) say about the split: ``key, unit, fits, follows, whole``.
+
+    ``fits``: no piece is over its limit; ``follows``: each begins with the overlap, the same as the end of the one before;
+    ``whole``: md5 of all of them joined without the overlaps, word pieces with blanks between, a NULL one as ``<null>``.
+    """
+    max_pieces, piece_overlap, max_chars, char_overlap = limits
+    by = pieces.groupBy(quoted(key), "unit").agg(F.array_sort(F.collect_list(F.struct("piece_no", "size", "shared", "piece_tokens", "piece_text"))).alias("p"))
+    tokens = F.col("unit") == "tokens"
+    new_tokens = F.flatten(F.transform("p", lambda x: F.slice(x["piece_tokens"], x["shared"] + 1, F.greatest(x["size"], F.lit(1)))))
+    new_text = F.array_join(F.transform("p", lambda x: F.substr(x["piece_text"], x["shared"] + 1)), "")
+
+    def follows(x: Column, i: Column) -> Column:
+        before = F.get("p", i - 1)
+        same = F.when(tokens, F.slice(x["piece_tokens"], 1, piece_overlap).eqNullSafe(F.slice(before["piece_tokens"], -piece_overlap, piece_overlap))).otherwise(F.left(x["piece_text"], F.lit(char_overlap)) == F.right(before["piece_text"], F.lit(char_overlap)))
+        held = F.when(tokens, F.size(x["piece_tokens"])).otherwise(F.length(x["piece_text"])) == x["size"]
+        return held & (x["piece_no"] == i) & F.when(i == 0, x["shared"] == 0).otherwise((x["shared"] == F.when(tokens, piece_overlap).otherwise(char_overlap)) & same)
+
+    fits = F.forall("p", lambda x: x["size"] <= F.when(tokens, max_pieces).otherwise(max_chars))
+    return by.select(
+        quoted(key), "unit", fits.alias("fits"), F.forall(F.transform("p", follows), lambda ok: ok).alias("follows"),
+        F.md5(F.when(tokens, F.array_join(new_tokens, " ", "<null>")).otherwise(new_text)).alias("whole"),
+    )

@@ -1,8 +1,10 @@
+import hashlib
 import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lexshift.llm import split
 
@@ -68,8 +70,8 @@ def test_random(spark):
 
 def test_found_and_errors(spark):
     df = spark.createDataFrame([("a", ["w"] * 257, "x"), ("a", ["w"] * 257, "x"), ("b", ["w"] * 256, "x" * 9999), ("c", None, "y" * 1201)], "id string, tokens array<string>, text string")
-    assert sorted(r[0] for r in split.oversized(df).collect()) == ["a", "c"]
-    assert split.oversized(df.limit(0)).count() == 0
+    assert sorted({r["id"] for r in split.split_oversized(df).where("n_pieces > 1").collect()}) == ["a", "c"]
+    assert split.split_oversized(df.limit(0)).count() == 0
     clash = df.selectExpr("id AS Size", "tokens", "text", "1 AS row", "2 AS p", "3 AS cores", "4 AS `a.b`", "5 AS `from`")
     got = split.split_oversized(clash)
     assert got.columns == ["row", "p", "cores", "a.b", "from", *split.MADE] and got.where("size <= 256").count() >= 4
@@ -82,3 +84,17 @@ def test_found_and_errors(spark):
 @given(st.integers(20, 400))
 def test_pattern_bounds(limit):
     assert f"{{1,{limit}}}" in split.text_pattern(limit, limit // 5)
+
+
+def test_rejoined_sees_what_is_wrong(spark):
+    words = [f"w{i}" + ("##s" if i % 3 else "") for i in range(40)]
+    df = spark.createDataFrame([("a", words, None), ("b", None, "some words here. " * 20), ("c", [], "x"), ("d", [None, "a##b"], None), ("e", None, "")], "id string, tokens array<string>, text string")
+    limits = (16, 4, 60, 10)
+    made = split.split_oversized(df, "tokens", "text", *limits)
+    good = {r["id"]: r for r in split.rejoined(made, "id", limits).collect()}
+    whole = {"a": " ".join(words).replace("##", " ##"), "b": "some words here. " * 20, "c": "", "d": "<null> a ##b", "e": ""}
+    assert {k: (r["fits"], r["follows"], r["whole"]) for k, r in good.items()} == {k: (True, True, hashlib.md5(w.encode()).hexdigest()) for k, w in whole.items()}
+    for wrong in (made.where("NOT (id = 'a' AND piece_no = 1)"), made.withColumn("piece_tokens", F.expr("CASE WHEN piece_no = 1 THEN reverse(piece_tokens) ELSE piece_tokens END"))):
+        bad = {r["id"]: r for r in split.rejoined(wrong, "id", limits).collect()}
+        assert not bad["a"]["follows"] and bad["b"]["follows"] and bad["a"]["whole"] != good["a"]["whole"]
+    assert not any(r["fits"] for r in split.rejoined(made, "id", (3, 4, 9, 10)).where("id IN ('a', 'b')").collect())
