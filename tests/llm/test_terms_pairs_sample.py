@@ -100,8 +100,8 @@ def test_corpus_terms_count_ids_once(spark):
     assert [tuple(r) for r in terms.corpus_terms(df).collect()] == [("a", 2, 1, "rare")]
 
 
-@pytest.mark.parametrize(("least", "lift"), [(1, 0), (2, 2), (3, 4)])
-def test_pairs(spark, least, lift):
+@pytest.mark.parametrize(("least", "lift", "block"), [(1, 0, 1000), (2, 2, 1000), (3, 4, 1000), (1, 0, 3), (1, 0, 1), (2, 2, 2)])
+def test_pairs(spark, least, lift, block):
     r = random.Random(4)
     baskets = [[r.choice(["a", "b", "c", "d", None, f"i{r.randint(0, 30)}"]) for _ in range(r.randint(0, 9))] for _ in range(150)] + [None, [], [None], ["a"], ["a", "a"]]
     sets = [set(b or []) - {None} for b in baskets]
@@ -109,7 +109,7 @@ def test_pairs(spark, least, lift):
     one, two = Counter(x for s in sets for x in s), Counter(p for s in sets for p in combinations(sorted(s), 2))
     want = {(a, b, k) for (a, b), k in two.items() if k >= least and k * n >= lift * one[a] * one[b]}
     df = spark.createDataFrame([(b, 1) for b in baskets], "k array<string>, items int")
-    rows = pairs.item_pairs(df, "k", least, lift).collect()
+    rows = pairs.item_pairs(df, "k", least, lift, block).collect()
     assert {(r["item_a"], r["item_b"], r["n_ab"]) for r in rows} == want and len(rows) == len(want)
     assert all(abs(r["lift"] - r["n_ab"] * n / (one[r["item_a"]] * one[r["item_b"]])) < 1e-9 and r["n"] == n for r in rows)
     assert pairs.item_pairs(df.limit(0), "k").count() == 0
@@ -118,6 +118,9 @@ def test_pairs(spark, least, lift):
 def test_pairs_of_a_long_basket(spark):
     df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(700)), lambda i: i.cast("string")).alias("k"))
     assert pairs.item_pairs(df, "k", 1, 0).count() == 700 * 699 // 2
+    tasks = pairs._across(df.select(F.col("k").cast("array<bigint>").alias("nums")), 50)
+    assert tasks.groupBy("num_a", "num_b").count().where("count = 1 AND num_a < num_b").count() == 700 * 699 // 2
+    assert tasks.select(F.spark_partition_id().alias("p")).distinct().count() > 2
 
 
 def test_found_counts_mentions_once(spark):
