@@ -16,8 +16,8 @@ from lexshift.workdir import cut
 
 #: Production thresholds of a case: baskets with both, and how many times more than chance.
 MIN_BOTH, MIN_LIFT = 5, 10
-#: Items of a basket that are paired in one row; longer ones are cut into blocks and the blocks paired.
-BLOCK = 1000
+#: Items of a basket that are paired in one row; longer ones are cut into blocks and the blocks paired, so many pairs of blocks a task.
+BLOCK, TASK_BLOCKS = 1000, 16
 
 
 def item_pairs(df: DataFrame, items: str, min_both: int = MIN_BOTH, min_lift: int = MIN_LIFT, block: int = BLOCK) -> DataFrame:
@@ -30,18 +30,19 @@ def item_pairs(df: DataFrame, items: str, min_both: int = MIN_BOTH, min_lift: in
     ``n / min_lift`` baskets is in no wanted pair, nor is one in fewer than ``min_both``: both stay out of the pairing.
     """
     baskets = cut(df.select(F.array_sort(F.array_distinct(F.array_compact(F.col(f"`{items}`")))).alias("items")).where("size(items) > 0"))
-    n, longest = baskets.agg(F.count("*"), F.coalesce(F.max(F.size("items")), F.lit(0))).first()
+    size = F.when(F.size("items") > block, F.ceil(F.size("items") / block))
+    n, blocks = baskets.agg(F.count("*"), F.coalesce(F.sum(size * (size + 1) / 2), F.lit(0))).first()
     single = baskets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
     useful = single.where((F.col("n") >= min_both) & (F.col("n") * min_lift <= n))
     numbered = cut(useful.select("item", "n", F.monotonically_increasing_id().alias("num")))  # written, so that a number stays an item's
     keyed = baskets.select(F.monotonically_increasing_id().alias("basket"), "items")  # of written rows, so the same when a task is repeated
     long = keyed.select("basket", F.explode("items").alias("item")).join(numbered.select("item", "num"), "item").select("basket", "num")
     kept = long.groupBy("basket").agg(F.array_sort(F.collect_list("num")).alias("nums")).where("size(nums) > 1").select("nums")
-    if longest <= block:
+    if not blocks:
         pairs = _within(kept)
     else:
         kept = cut(kept)
-        pairs = _within(kept.where(F.size("nums") <= block)).unionByName(_across(kept.where(F.size("nums") > block), block))
+        pairs = _within(kept.where(F.size("nums") <= block)).unionByName(_across(kept.where(F.size("nums") > block), block, max(1, min(100_000, int(blocks) // TASK_BLOCKS))))
     both = pairs.groupBy("num_a", "num_b").agg(F.count("*").alias("n_ab")).where(F.col("n_ab") >= min_both)
     a, b = (numbered.select(F.col("num").alias(f"num_{x}"), F.struct("item", "n").alias(x)) for x in "ab")
     out = both.join(a, "num_a").join(b, "num_b").where(F.col("n_ab") * n >= min_lift * F.col("a.n") * F.col("b.n"))
@@ -57,12 +58,12 @@ def _within(lists: DataFrame) -> DataFrame:
     return first.select("num_a", F.explode(F.slice("nums", F.col("at") + 2, F.size("nums"))).alias("num_b"))
 
 
-def _across(lists: DataFrame, block: int) -> DataFrame:
-    """The same by pairs of blocks of the lists, each of which may go to another task."""
+def _across(lists: DataFrame, block: int, tasks: int) -> DataFrame:
+    """The same by pairs of blocks of the lists, which are spread over ``tasks``."""
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("nums") - 1) / block).cast("int")), lambda i: F.slice("nums", i * block + 1, block))
     left = lists.select(parts.alias("parts")).select("parts", F.posexplode("parts").alias("i", "a"))
     both = left.select("i", "a", F.posexplode(F.slice("parts", F.col("i") + 1, F.size("parts"))).alias("d", "b"))
-    spread = both.repartition(F.xxhash64("a", "b"))  # by content, so the same when a task is repeated
+    spread = both.repartition(tasks, F.xxhash64("a", "b"))  # by content, so the same when a task is repeated
     return _within(spread.where("d = 0").select(F.col("a").alias("nums"))).unionByName(spread.where("d > 0").select(F.explode("a").alias("num_a"), "b").select("num_a", F.explode("b").alias("num_b")))
 
 

@@ -118,7 +118,7 @@ def test_pairs(spark, least, lift, block):
 def test_pairs_of_a_long_basket(spark):
     df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(700)), lambda i: i.cast("string")).alias("k"))
     assert pairs.item_pairs(df, "k", 1, 0).count() == 700 * 699 // 2
-    tasks = pairs._across(df.select(F.col("k").cast("array<bigint>").alias("nums")), 50)
+    tasks = pairs._across(df.select(F.col("k").cast("array<bigint>").alias("nums")), 50, 6)
     assert tasks.groupBy("num_a", "num_b").count().where("count = 1 AND num_a < num_b").count() == 700 * 699 // 2
     assert tasks.select(F.spark_partition_id().alias("p")).distinct().count() > 2
 
