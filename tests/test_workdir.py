@@ -4,7 +4,7 @@ from types import SimpleNamespace
 import pytest
 
 from lexshift import workdir
-from lexshift.tables import one_per_key, parted
+from lexshift.tables import one_per_key, parted, spread_join
 
 
 def session(**conf):
@@ -44,3 +44,12 @@ def test_one_row_a_key(spark, limit):
     assert one_per_key(df.limit(0), "id", limit=limit).count() == 0
     apart, again = parted(df, "id", limit=limit)
     assert (apart is None and again.count() == 56) if not limit else (apart.count() == 52 and again.count() == 4)
+
+
+@pytest.mark.parametrize(("broadcast", "hot"), [(10**7, 10**6), (-1, 10**6), (-1, 20)])
+def test_spread_join(spark, broadcast, hot):
+    many = spark.createDataFrame([("hot", i) for i in range(300)] + [(f"k{i % 7}", i) for i in range(50)] + [(None, 1)], "key string, x int")
+    few = workdir.cut(spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("none", 4), (None, 5)], "key string, y int"))
+    got = spread_join(many, few, "key", broadcast, hot)
+    assert got.columns == ["key", "x", "y"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, many.join(few, "key").collect()))
+    assert spread_join(many.limit(0), few, "key", broadcast, hot).count() == 0
