@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexshift.tables import quoted
+from lexshift.tables import BROADCAST_BYTES, HOT_ROWS, quoted, spread_join
 from lexshift.workdir import cut
 
 # Letters of other scripts and the Latin letters they look like, in order of code points.
@@ -30,7 +30,9 @@ LOOK_ALIKES = {
     "С": "C", "Т": "T", "Х": "X", "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s",
     "і": "i", "ј": "j", "ѵ": "v", "Ү": "Y", "Һ": "H", "һ": "h", "Ӏ": "I", "ԁ": "d", "Ԍ": "G", "ԛ": "q", "Ԛ": "Q",
     "ԝ": "w", "Ԝ": "W", "Օ": "O", "Տ": "S", "Ս": "U", "հ": "h", "ո": "n", "ս": "u", "օ": "o", "ց": "g", "ℎ": "h",
-    "Ꭺ": "A", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꭱ": "R", "Ꭲ": "T",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z",
+    "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B", "ꮃ": "w", "ꮓ": "z", "ꮩ": "v", "ꮪ": "s", "ꮯ": "c",
+    "ᴄ": "c", "ᴏ": "o", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s", "ӏ": "l", "ԍ": "ɢ", "Ѵ": "V",
     "ɑ": "a", "ɡ": "g", "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z",
     "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y",
     "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U", "‐": "-", "‑": "-", "…": "...",
@@ -74,7 +76,7 @@ class _Tables:
                 self.to[c] = LOOK_ALIKES[c]
             elif made.startswith("<"):
                 tag = made.split(" ")[0]
-                if tag in SHAPES or (tag == "<compat>" and ("LIGATURE" in unicodedata.name(c, "") or kind == "Lt" or re.search(r"LETTER (DZ|LJ|NJ)$", unicodedata.name(c, "")))):
+                if tag in SHAPES or (tag == "<compat>" and (re.search("LIGATURE|ROMAN NUMERAL", unicodedata.name(c, "")) or kind == "Lt" or re.search(r"LETTER (DZ|LJ|NJ)$", unicodedata.name(c, "")))):
                     self.to[c] = unicodedata.normalize("NFKC", c)
             # quick check: marks may combine with what stands before; the rest is unstable where it decomposes to a look-alike or composes otherwise
             if c in self.to or unicodedata.combining(c) or kind == "Mn" or 0x1161 <= p <= 0x11FF:
@@ -138,18 +140,39 @@ def with_canonical(df: DataFrame, field: str, to: str = "canonical") -> DataFram
     return df.withColumn(to, canonical_column(F.col(quoted(field))))
 
 
-def same_looking_pairs(df: DataFrame, id_field: str, field: str) -> DataFrame:
-    """Pairs of different ids whose strings differ but look the same: ``id_a < id_b``.
-
-    Repeated rows of one id and string count once. Rows whose id or string is NULL, or whose canonical form is empty,
-    make no pair. Every string is normalised once and goes on as hashes only (64 bits to group by, 128 more to be sure),
-    written to the shared folder. Pre-aggregation on the map side finds the groups that hold two different strings; only
-    the rows of these are paired.
-    """
+def _mixed(df: DataFrame, id_field: str, field: str, limits: tuple[int, int]) -> DataFrame:
+    """``key, form, id, exact`` of the rows in classes that hold two different strings, written; each row once."""
     rows = df.select(F.col(quoted(id_field)).alias("id"), F.col(quoted(field)).alias("stored")).where("id IS NOT NULL AND stored IS NOT NULL")
     some = with_canonical(rows, "stored").select("id", F.xxhash64("canonical").alias("key"), F.md5("canonical").alias("form"), F.xxhash64("stored").alias("exact"))
     forms = cut(some).where(F.col("form") != F.md5(F.lit("")))  # after writing: a filter before it would normalise twice
-    mixed = forms.groupBy("key").agg(F.min("exact").alias("low"), F.max("exact").alias("high")).where("low <> high").select("key")
-    few = forms.join(mixed, "key", "left_semi").dropDuplicates(["key", "id", "exact"])
+    mixed = cut(forms.groupBy("key").agg(F.min("exact").alias("low"), F.max("exact").alias("high")).where("low <> high").select("key"))
+    return cut(spread_join(forms, mixed, "key", *limits).dropDuplicates(["key", "form", "id", "exact"]))
+
+
+def same_looking(df: DataFrame, id_field: str, field: str, broadcast_bytes: int = BROADCAST_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``id, class, string, members, strings, links``: a row for each id whose string looks like another, different one.
+
+    ``class`` is the md5 of the common form, ``string`` a hash of the stored string, ``members`` and ``strings`` are those
+    of the class, ``links`` the members with another string. Nothing is paired, so a class costs what it has rows, however
+    many. Rows whose id or string is NULL, or whose canonical form is empty, are in no class; repeated rows of one id and
+    string count once; an empty table gives no rows. Every string is normalised once and goes on as hashes only (64 bits to
+    group by, 128 more to be sure), written to the shared folder.
+    """
+    limits = broadcast_bytes, hot_rows
+    few = _mixed(df, id_field, field, limits)
+    by = few.groupBy("form", "exact").agg(F.count("*").alias("same"))
+    total = cut(by.groupBy("form").agg(F.sum("same").alias("members"), F.count("*").alias("strings")).where("strings > 1"))
+    sizes = cut(spread_join(by, total, "form", *limits).select(F.xxhash64("form", "exact").alias("both"), "members", "strings", (F.col("members") - F.col("same")).alias("links")))
+    out = spread_join(few.select("id", "form", "exact", F.xxhash64("form", "exact").alias("both")), sizes, "both", *limits)
+    return out.select("id", F.col("form").alias("class"), F.col("exact").alias("string"), "members", "strings", "links")
+
+
+def same_looking_pairs(df: DataFrame, id_field: str, field: str, broadcast_bytes: int = BROADCAST_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Pairs of different ids whose strings differ but look the same: ``id_a < id_b``; all pairs of every class.
+
+    Rows are taken as by ``same_looking``. A class with very many rows is spread over tasks on one side of the join.
+    """
+    few = _mixed(df, id_field, field, (broadcast_bytes, hot_rows))
     a, b = (few.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "exact", "form"))) for x in "ab")
-    return a.join(b, "key").where("id_a < id_b AND exact_a <> exact_b AND form_a = form_b").select("id_a", "id_b").distinct()
+    pairs = spread_join(a, b, "key", broadcast_bytes, hot_rows)
+    return pairs.where("id_a < id_b AND exact_a <> exact_b AND form_a = form_b").select("id_a", "id_b").distinct()

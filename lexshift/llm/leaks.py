@@ -25,10 +25,10 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexshift.llm.canon import canonical
-from lexshift.workdir import bytes_of, cut
+from lexshift.tables import BROADCAST_BYTES, HOT_ROWS, spread_join
+from lexshift.workdir import cut
 
 #: Offsets of the words that a seed selects.
 MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 2, 4))
@@ -38,8 +38,6 @@ MIN_RUN, MIN_EQUAL, SHARED_WORDS, SHARED_ITEMS = 12, 9, 6, 3
 REACH = 48
 #: The filter's bits for each seed of the items, and the power of two that it never exceeds (32 MB); hash functions.
 SEED_BITS, MOST_BITS, LOOKS = 64, 28, 4
-#: Bytes of a written table up to which it is broadcast to be joined; rows of one key from which on they are spread over tasks, and how many such keys there are at most.
-BROADCAST_BYTES, HOT_ROWS, HOT_KEYS = 4_000_000, 100_000, 10_000
 #: Characters of documents that are looked at together, words that are hashed together, words that a task remembers.
 BATCH_CHARS, BATCH_WORDS, MEMORY = 2_000_000, 500_000, 1_000_000
 #: Letters and how they are written without the accent.
@@ -281,27 +279,6 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = to
 
 
-def spread_join(many: DataFrame, few: DataFrame, key: str, broadcast_bytes: int = BROADCAST_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``many`` joined with the written table ``few`` on ``key``.
-
-    A table of at most ``broadcast_bytes`` is broadcast. Otherwise keys with more than ``hot_rows`` rows in ``many`` are
-    spread over as many tasks as their rows need, ``few`` being repeated for these keys only. There are at most HOT_KEYS
-    of them, as the bound rises with the number of all rows.
-    """
-    if bytes_of(few) <= broadcast_bytes:
-        return many.join(F.broadcast(few), key)
-    most = max(hot_rows, many.count() // HOT_KEYS)
-    hot = cut(many.groupBy(key).count().where(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("shares")))
-    if hot.isEmpty():
-        return many.join(few, key)
-    hot = F.broadcast(hot)
-    plain = [c for c in many.columns if c != key and not isinstance(many.schema[c].dataType, T.ArrayType)]
-    share = F.coalesce(F.pmod(F.xxhash64(*plain), F.col("shares")), F.lit(0)).cast("int")  # by hash, so the same when a task is repeated
-    left = many.join(hot, key, "left").withColumn("share", share).drop("shares")
-    right = few.join(hot, key, "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
-    return left.join(right, [key, "share"]).drop("share")
-
-
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``doc_id, item_id, run``: the documents that hold at least MIN_RUN running words of an item, and the longest run.
 

@@ -46,8 +46,16 @@ def p3_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.item_pairs(mentions, "top_terms", 1, 0)
 
 
+FIELDS = (("coha_tokens", "text"), ("matching", "lemmas"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    parts = [canon.same_looking_pairs(table(spark, folder, tab), "id", field).select(F.lit(tab).alias("tab"), "id_a", "id_b") for tab, field in (("coha_tokens", "text"), ("matching", "lemmas"))]
+    parts = [canon.same_looking_pairs(table(spark, folder, tab), "id", field).select(F.lit(tab).alias("tab"), "id_a", "id_b") for tab, field in FIELDS]
+    return parts[0].union(parts[1])
+
+
+def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
+    parts = [canon.same_looking(table(spark, folder, tab), "id", field).select(F.lit(tab).alias("tab"), "*") for tab, field in FIELDS]
     return parts[0].union(parts[1])
 
 
@@ -86,7 +94,7 @@ def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p1_rejoined, p2_found, p2_term_counts, p3_found, p3_pairs, p4_found, p5_sample_mentions, p5_sample_token_lists, p6_pack, p6_faults, p7_found, p8_found, p8_segments)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_rejoined, p2_found, p2_term_counts, p3_found, p3_pairs, p4_found, p4_classes, p5_sample_mentions, p5_sample_token_lists, p6_pack, p6_faults, p7_found, p8_found, p8_segments)}
 
 
 _COUNTS = """

@@ -51,3 +51,26 @@ def test_pairs(spark):
     got = sorted(map(tuple, canon.same_looking_pairs(df, "id", "key").collect()))
     assert got == [("1", "2"), ("1", "8"), ("2", "3"), ("2", "8"), ("3", "8")]
     assert canon.same_looking_pairs(df.limit(0), "id", "key").count() == 0
+
+
+@pytest.mark.parametrize(("small", "hot"), [(10**7, 10**6), (-1, 10**6), (-1, 5)])
+def test_classes_and_their_pairs(spark, small, hot):
+    """A class with most of the rows in two spellings: memberships say what the pairs do."""
+    rows = [(f"{i:03}", "she" if i % 3 else "ѕhe") for i in range(60)] + [("a", "x"), ("b", "ｘ"), ("c", "y"), ("c", "y"), ("d", None), ("e", "x")]
+    df = spark.createDataFrame(rows, "id string, t string").repartition(3)
+    found = {r["id"]: (r["members"], r["strings"], r["links"]) for r in canon.same_looking(df, "id", "t", small, hot).collect()}
+    pairs = [tuple(r) for r in canon.same_looking_pairs(df, "id", "t", small, hot).collect()]
+    assert len(pairs) == len(set(pairs)) == 40 * 20 + 2 and {i for p in pairs for i in p} == set(found)
+    assert found["000"] == (60, 2, 40) and found["001"] == (60, 2, 20) and found["b"] == (3, 2, 2) and found["a"] == (3, 2, 1)
+    assert sum(x[2] for x in found.values()) == 2 * len(pairs)
+    assert canon.same_looking(df.limit(0), "id", "t", small, hot).count() == 0
+
+
+@pytest.mark.parametrize(("a", "b"), [("ӏ", "l"), ("ԍ", "ɢ"), ("ⅼ", "l"), ("ⅽ", "c"), ("Ⅰ", "I"), ("ⅷ", "viii"), ("Ⅻ", "XII"), ("Ꭰ", "D"), ("ꮯ", "c"), ("ꮪ", "s"), ("ꮃ", "w"), ("ᴄ", "c"), ("ᴏ", "o"), ("ᴠ", "v"), ("ꜱ", "s"), ("Ѵ", "V")])
+def test_more_look_alikes(a, b):
+    assert canonical(f"x{a}y") == canonical(f"x{b}y") == f"x{b}y"
+
+
+@pytest.mark.parametrize("c", ["²", "①", "ʰ", "½", "ı", "ʀ"])
+def test_what_can_be_seen_stays(c):
+    assert canonical(c) == c
