@@ -13,6 +13,7 @@ from lexshift.operators import align, cluster, context, corpus, evaluate, index,
 from lexshift.operators import substitutes as model
 from lexshift.plans.pipeline import Config, change_of
 from lexshift.sources import readers, sinks
+from lexshift.workdir import cut
 
 Args = argparse.Namespace
 COMMANDS: dict[str, tuple[Callable[[SparkSession, Args], DataFrame | None], list[tuple[str, dict]]]] = {}
@@ -89,7 +90,8 @@ def get_substitutes(spark: SparkSession, a: Args) -> DataFrame:
     beside = context.neighbours(spark.read.parquet(a.docs))
     found = index.enough_mentions(spark.read.parquet(a.index).select("term", "id", "pos"), 1 if a.allow_single else 2)
     placed = found.join(beside.drop("term"), ["id", "pos"])
-    fitted = model.BigramModel.fit(beside, index.term_counts(beside), readers.stopwords(spark, a.stopwords))
+    pairs = cut(model.adjacent(beside))
+    fitted = model.BigramModel.fit(pairs, pairs.groupBy("term").agg(F.sum("n").alias("n")), readers.stopwords(spark, a.stopwords))
     return model.substitutes(placed, fitted, a.top_k)
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexshift.functions import text as X
 
@@ -36,10 +35,15 @@ def markup_counts(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.explode(F.filter(X.blank_tokens(F.col(text)), lambda t: F.startswith(t, F.lit("<")))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-def redaction_chunks(df: DataFrame, key: str, text: str, least: int = 8) -> DataFrame:
-    """``id, text`` of the parts between removed words that are longer than ``least``; ids keep the parts' ordinals, so they have gaps."""
-    parts = df.select(F.col(key).alias("key"), F.posexplode(F.split(F.col(text), X.REDACTED)).alias("part", "text"))
-    return parts.select(F.concat("key", F.lit("_"), F.lpad(F.col("part").cast("string"), 5, "0")).alias("id"), X.strip(F.col("text")).alias("text")).where(F.length("text") > least)
+def redaction_chunks(df: DataFrame, key: str, text: str, least: int = 8, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id, text`` and the columns ``keep`` of the parts between removed words that are longer than ``least``; ids keep the parts' ordinals, so they have gaps."""
+    parts = df.select(F.col(key).alias("key"), *keep, F.posexplode(F.split(F.col(text), X.REDACTED)).alias("part", "chunk"))
+    return parts.select(F.concat("key", F.lit("_"), F.lpad(F.col("part").cast("string"), 5, "0")).alias("id"), *keep, X.strip(F.col("chunk")).alias("text")).where(F.length("text") > least)
+
+
+def chunk_lengths(chunks: DataFrame) -> DataFrame:
+    """``words, n``: how many chunks have so many words."""
+    return chunks.groupBy(F.size(X.blank_tokens(F.col("text"))).alias("words")).agg(F.count("*").alias("n"))
 
 
 def checked_halves(df: DataFrame, corpus: str = "corpus") -> tuple[str, str]:
@@ -92,5 +96,3 @@ def mlm_chunks(df: DataFrame, key: str, tokens: str, length: int = 256, batch: i
     full = (F.size("all") / F.lit(length)).cast("int")
     return joined.where(full > 0).select("batch", F.posexplode(F.transform(F.sequence(F.lit(0), full - 1), lambda i: F.slice("all", i * length + 1, length))).alias("chunk", "tokens"))
 
-
-TOKENS = T.StructType([T.StructField("id", T.StringType()), T.StructField("corpus", T.StringType()), T.StructField("tokens", T.ArrayType(T.StringType()))])

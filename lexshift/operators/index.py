@@ -29,6 +29,12 @@ def term_counts_by_corpus(terms: DataFrame, halves: tuple[str, str]) -> DataFram
     return terms.groupBy("term").agg(F.count("*").alias("n"), F.count_if(F.col("corpus") == a).alias("n_a"), F.count_if(F.col("corpus") == b).alias("n_b"))
 
 
+def summed_by_corpus(counts: DataFrame, halves: tuple[str, str]) -> DataFrame:
+    """The same from rows ``term, corpus, n`` that are counts already."""
+    of = lambda c: F.coalesce(F.sum(F.when(F.col("corpus") == c, F.col("n"))), F.lit(0))
+    return counts.groupBy("term").agg(F.sum("n").alias("n"), of(halves[0]).alias("n_a"), of(halves[1]).alias("n_b"))
+
+
 def documents_per_corpus(docs: DataFrame) -> DataFrame:
     return docs.groupBy("corpus").agg(F.count("*").alias("documents"))
 
@@ -141,10 +147,11 @@ def phrase_tokens(tokens: Column, phrases: list[str]) -> Column:
 
 def phrase_mentions(docs: DataFrame, phrases: list[str]) -> DataFrame:
     """``id, corpus, pos, words, term``: phrases and the words outside them; ``pos`` counts single tokens."""
-    parts = docs.select("id", "corpus", phrase_tokens(X.unmarked(F.col("tokens")), phrases).alias("parts"))
-    rows = parts.select("id", "corpus", F.posexplode("parts").alias("at", "term")).withColumn("words", F.size(F.split("term", " ")))
-    before = F.sum("words").over(Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.select("id", "corpus", F.coalesce(before, F.lit(0)).cast("int").alias("pos"), "words", "term")
+    parts = phrase_tokens(X.unmarked(F.col("tokens")), phrases)
+    # a phrase takes as many places as it has words, the places after its first being NULL, so positions follow inside the row
+    words = lambda p: F.size(F.split(p, " "))
+    places = F.flatten(F.transform(parts, lambda p: F.concat(F.array(F.struct(words(p).alias("words"), p.alias("term"))), F.array_repeat(F.lit(None).cast("struct<words:int,term:string>"), words(p) - 1))))
+    return docs.select("id", "corpus", F.posexplode(places).alias("pos", "x")).where("x IS NOT NULL").select("id", "corpus", "pos", "x.words", "x.term")
 
 
 def enough_mentions(found: DataFrame, least: int = 2) -> DataFrame:

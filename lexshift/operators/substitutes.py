@@ -44,9 +44,9 @@ class BigramModel:
     before: DataFrame
 
     @classmethod
-    def fit(cls, beside: DataFrame, counts: DataFrame, stopwords: DataFrame, width: int = 30) -> BigramModel:
-        """From tokens with neighbours (``term, l``) and their counts (``term, n``)."""
-        pairs = cut(bigrams(beside))  # counted once, read for both sides
+    def fit(cls, adjacent: DataFrame, counts: DataFrame, stopwords: DataFrame, width: int = 30) -> BigramModel:
+        """From counts of adjacent words (``adjacent``) and of words (``term, n``)."""
+        pairs = cut(bigrams_of(adjacent))  # counted once, read for both sides
         fit = counts.where(acceptable(F.col("term"))).join(stopwords.select(F.col("word").alias("term")).distinct(), "term", "left_anti").select(F.col("term").alias("c"), F.col("n").alias("n_c"))
 
         def side(given: str, other: str) -> DataFrame:
@@ -69,8 +69,21 @@ class BigramModel:
         return both.select(*contexts.columns, F.transform(ranked, lambda x: x["c"]).alias("top_terms"))
 
 
-def bigrams(beside: DataFrame) -> DataFrame:
+def adjacent(beside: DataFrame) -> DataFrame:
+    """``l, term, corpus, n``: how often a word stands after another, by corpus; ``l`` is NULL at the beginning.
+
+    All counts of words and of pairs of them add up from here, so the tokens are read once for both.
+    """
+    return beside.groupBy("l", "term", "corpus").agg(F.count("*").alias("n"))
+
+
+def bigrams_of(adjacent: DataFrame) -> DataFrame:
     """``l, r, n``: how often two words stand side by side."""
+    return adjacent.where("l IS NOT NULL").groupBy("l", F.col("term").alias("r")).agg(F.sum("n").alias("n"))
+
+
+def bigrams(beside: DataFrame) -> DataFrame:
+    """The same from the tokens."""
     return beside.where("l IS NOT NULL").groupBy("l", F.col("term").alias("r")).agg(F.count("*").alias("n"))
 
 

@@ -1,4 +1,8 @@
-"""The whole way from a tokenized corpus to scaled change, as one lazy plan."""
+"""The whole way from a tokenized corpus to scaled change.
+
+Tables that are read several times are written on the way (``cut``), so jobs run while the plan is built; what comes back is
+lazy.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexshift.operators import context, index, score
-from lexshift.operators.substitutes import BigramModel, SubstituteModel, context_histogram
+from lexshift.operators.substitutes import BigramModel, SubstituteModel, adjacent, context_histogram
 from lexshift.workdir import cut
 
 
@@ -29,11 +33,12 @@ class Config:
 def lexical_change(docs: DataFrame, stopwords: DataFrame, config: Config, targets: DataFrame | None = None, model: SubstituteModel | None = None) -> DataFrame:
     """``term, n, jsd, neighbours, scaled_jsd`` of the valid terms, and of the targets if given, of ``id, corpus, tokens``."""
     beside = context.neighbours(docs)
-    counts = cut(index.term_counts_by_corpus(beside.select("term", "corpus"), config.halves))  # a row a term, read several times
+    pairs = cut(adjacent(beside))  # one pass over the tokens for all counts of words and of pairs
+    counts = cut(index.summed_by_corpus(pairs, config.halves))  # a row a term, read several times
     valid = index.valid_terms(counts, config.min_count, config.min_per_corpus)
     wanted = counts.join(index.union_terms(valid, targets), "term", "left_semi") if targets is not None else valid
     found = index.capped(beside, config.cap, config.seed, wanted)
-    ranked = model or BigramModel.fit(beside, counts, stopwords)
+    ranked = model or BigramModel.fit(pairs, counts, stopwords)
     hist = cut(context_histogram(found, ranked, config.top_k))  # read twice; made once
     jsd = score.jensen_shannon(hist, config.halves, config.require_both)
     return score.scaled(counts.join(jsd, "term").select("term", "n", "jsd"), config.factor)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexshift.functions import text as X
 from lexshift.operators import corpus as C
+from lexshift.workdir import cut
 
 #: Languages that have stopword lists.
 STOPWORD_LANGUAGES = ("eng", "ger", "lat", "swe")
@@ -31,17 +32,24 @@ def decade_files(spark: SparkSession, folder: str, decades: list[int]) -> DataFr
     checked = F.when(F.size(parts) == 3, parts).otherwise(F.raise_error(F.concat(F.lit("a file name needs three parts: "), name)))
     rows = files.select(C.decade_clean(C.file_text(F.col("value"))).alias("text"), name.alias("name"), checked.alias("p"), F.element_at(F.split("path", "/"), -2).alias("d")).where("text IS NOT NULL")
     keyed = rows.select("name", "text", F.regexp_replace("d", "s$", "").cast("int").alias("decade"), F.get("p", F.lit(1)).cast("int").alias("year"), F.get("p", F.lit(0)).alias("subset"))
-    chunks = C.redaction_chunks(keyed, "name", "text").withColumn("name", F.regexp_replace("id", r"_\d{5,}$", ""))
-    return chunks.join(keyed.drop("text"), "name").select("id", "decade", "year", "subset", C.half_of_decade(F.col("decade")).alias("group"), "text")
+    return C.redaction_chunks(keyed, "name", "text", keep=("decade", "year", "subset")).select("id", "decade", "year", "subset", C.half_of_decade(F.col("decade")).alias("group"), "text")
 
 
 def numbered_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """``id, text, source`` of one plain or gzipped text file; ids hold the line's number, eight digits from 0.
+    """``id, text, source`` of one plain or gzipped text file; ids hold the line's number, eight digits from 0. Another number of files raises.
 
-    A gzipped file is read by one task in order. Longer inputs should come as documents with ids of their own.
+    Lines are read one by one, a plain file by several tasks. Those of a block keep their order in it, and the blocks before
+    it, which are counted, say with what number it begins. A gzipped file is one block.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\n\z", "").alias("value"))
-    rows = lines.select(F.posexplode(F.split("value", "\n")).alias("n", "text"))
+    place = F.col("_metadata.file_block_start").alias("block")
+    raw = spark.read.option("lineSep", "\n").text(path)
+    if len(raw.inputFiles()) != 1:
+        raise ValueError(f"one file is needed at {path}; there are {len(raw.inputFiles())}")
+    lines = cut(raw.select("value", place, F.monotonically_increasing_id().alias("turn")))  # written, so that a turn stays a line's
+    blocks = lines.groupBy("block").agg(F.min("turn").alias("first"), F.count("*").alias("lines"))  # a row a block of the file
+    before = F.sum("lines").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    known = blocks.select("block", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    rows = lines.join(F.broadcast(known), "block").select((F.col("before") + F.col("turn") - F.col("first")).alias("n"), F.col("value").alias("text"))
     return rows.select(F.concat(F.lit(name + "_"), F.lpad(F.col("n").cast("string"), 8, "0")).alias("id"), X.collapse_hashes(X.strip(F.col("text"))).alias("text"), F.lit(name).alias("source"))
 
 
@@ -93,6 +101,12 @@ def term_index(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(entries).select("term", F.explode("pairs").alias("p")).select("term", F.get(pair, F.lit(0)).alias("id"), F.get(pair, F.lit(1)).cast("int").alias("pos"))
 
 
+def term_index_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same of lines ``{"term": .., "mentions": [[id, pos], ..]}``, as ``sinks.index_maps`` makes them, read in parallel."""
+    rows = spark.read.schema("term string, mentions array<array<string>>").json(path).select("term", F.explode("mentions").alias("m"))
+    return rows.select("term", F.get("m", F.lit(0)).alias("id"), F.get("m", F.lit(1)).cast("int").alias("pos"))
+
+
 def substitutes(spark: SparkSession, path: str) -> DataFrame:
     """``term, line_id, token_index, top_terms, top_term_probs`` of JSON lines or of a folder partitioned by term."""
     return spark.read.schema("term string, line_id string, token_index int, top_terms array<string>, top_term_probs array<double>").json(path)

@@ -50,10 +50,28 @@ def test_numbered_lines(spark, tmp_path):
     assert [r["text"] for r in readers.token_lines(rows, "ger").collect()] == ["a nn #b", "su"]
 
 
+def test_numbered_lines_of_several_blocks(spark, tmp_path):
+    (tmp_path / "c.txt").write_text("".join(f"line {i} {'x' * (i % 50)}\n" for i in range(2000)) + "the end")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4000b")
+        rows = readers.numbered_lines(spark, str(tmp_path / "c.txt"), "c")
+        got = {r["id"]: r["text"] for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 2001 and got["c_00002000"] == "the end" and all(got[f"c_{i:08}"].split()[1] == str(i) for i in range(2000))
+    (tmp_path / "e.txt").write_text("")
+    assert readers.numbered_lines(spark, str(tmp_path / "e.txt"), "e").count() == 0
+    with pytest.raises(ValueError, match="one file"):
+        readers.numbered_lines(spark, str(tmp_path / "*.txt"), "c")
+
+
 def test_sinks(spark, tmp_path):
     found = spark.createDataFrame([("t", "d1", 3), ("t", "d0", 1), ("u", "d2", 0)], "term string, id string, pos int")
     maps = {json.loads(r[0])["term"]: json.loads(r[0])["mentions"] for r in sinks.index_maps(found).collect()}
     assert maps == {"t": [["d0", "1"], ["d1", "3"]], "u": [["d2", "0"]]}
+    sinks.index_maps(found).write.text(str(tmp_path / "maps"))
+    assert sorted(map(tuple, readers.term_index_lines(spark, str(tmp_path / "maps")).collect())) == sorted(map(tuple, found.collect()))
     (tmp_path / "i.json").write_text(json.dumps({"t": [["d0", 1], ["d1", 3]], "u": [["d2", 0]]}))
     assert sorted(map(tuple, readers.term_index(spark, str(tmp_path / "i.json")).collect())) == sorted(map(tuple, found.collect()))
     scores = spark.createDataFrame([("a", 0.5), ("b", None)], "term string, scaled_jsd double")
