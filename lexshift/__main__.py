@@ -90,8 +90,8 @@ def get_substitutes(spark: SparkSession, a: Args) -> DataFrame:
     beside = context.neighbours(spark.read.parquet(a.docs))
     found = index.enough_mentions(spark.read.parquet(a.index).select("term", "id", "pos"), 1 if a.allow_single else 2)
     placed = found.join(beside.drop("term"), ["id", "pos"])
-    pairs = cut(model.adjacent(beside))
-    fitted = model.BigramModel.fit(pairs, pairs.groupBy("term").agg(F.sum("n").alias("n")), readers.stopwords(spark, a.stopwords))
+    pairs = cut(model.adjacent(beside, ("", "")))  # no counts by corpus are needed
+    fitted = model.BigramModel.fit(pairs, index.summed(pairs), readers.stopwords(spark, a.stopwords))
     return model.substitutes(placed, fitted, a.top_k)
 
 

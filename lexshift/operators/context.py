@@ -36,5 +36,8 @@ def windows(docs: DataFrame, found: DataFrame, radius: int = 50) -> DataFrame:
 def neighbours(docs: DataFrame) -> DataFrame:
     """``id, corpus, pos, term, l, r``: every token with the ones beside it, NULL at the ends. No shuffle: the list is read beside itself."""
     t = docs.select("id", "corpus", X.unmarked(F.col("tokens")).alias("t"))
-    beside = F.transform("t", lambda x, i: F.struct(x.alias("term"), F.get("t", i - 1).alias("l"), F.get("t", i + 1).alias("r")))
-    return t.select("id", "corpus", F.posexplode(beside).alias("pos", "x")).select("id", "corpus", "pos", "x.term", "x.l", "x.r").where("term IS NOT NULL")
+    none, n = F.array(F.lit(None).cast("string")), F.size("t")
+    before, after = F.concat(none, F.slice("t", 1, F.greatest(n - 1, F.lit(0)))), F.concat(F.slice("t", 2, F.greatest(n - 1, F.lit(0))), none)
+    # the shifted lists lie beside the list, so that no lambda is interpreted; where there are no tokens they are longer than it
+    beside = F.slice(F.arrays_zip(F.col("t").alias("term"), before.alias("l"), after.alias("r")), 1, n)
+    return t.where(n > 0).select("id", "corpus", F.posexplode(beside).alias("pos", "x")).select("id", "corpus", "pos", "x.term", "x.l", "x.r").where("term IS NOT NULL")

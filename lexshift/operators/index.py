@@ -23,16 +23,15 @@ def term_counts(terms: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("n"))
 
 
-def term_counts_by_corpus(terms: DataFrame, halves: tuple[str, str]) -> DataFrame:
-    """``term, n, n_a, n_b``; the corpora are named, so no pass is needed to find them."""
+def term_counts_by_corpus(terms: DataFrame, halves: tuple[str, str], *before: str) -> DataFrame:
+    """``term, n, n_a, n_b``, grouped by the columns ``before`` as well; the corpora are named, so no pass is needed to find them."""
     a, b = halves
-    return terms.groupBy("term").agg(F.count("*").alias("n"), F.count_if(F.col("corpus") == a).alias("n_a"), F.count_if(F.col("corpus") == b).alias("n_b"))
+    return terms.groupBy(*before, "term").agg(F.count("*").alias("n"), F.count_if(F.col("corpus") == a).alias("n_a"), F.count_if(F.col("corpus") == b).alias("n_b"))
 
 
-def summed_by_corpus(counts: DataFrame, halves: tuple[str, str]) -> DataFrame:
-    """The same from rows ``term, corpus, n`` that are counts already."""
-    of = lambda c: F.coalesce(F.sum(F.when(F.col("corpus") == c, F.col("n"))), F.lit(0))
-    return counts.groupBy("term").agg(F.sum("n").alias("n"), of(halves[0]).alias("n_a"), of(halves[1]).alias("n_b"))
+def summed(counts: DataFrame) -> DataFrame:
+    """The same from rows ``term, n, n_a, n_b`` that are counts already."""
+    return counts.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("n", "n_a", "n_b")))
 
 
 def documents_per_corpus(docs: DataFrame) -> DataFrame:
@@ -147,11 +146,12 @@ def phrase_tokens(tokens: Column, phrases: list[str]) -> Column:
 
 def phrase_mentions(docs: DataFrame, phrases: list[str]) -> DataFrame:
     """``id, corpus, pos, words, term``: phrases and the words outside them; ``pos`` counts single tokens."""
-    parts = phrase_tokens(X.unmarked(F.col("tokens")), phrases)
-    # a phrase takes as many places as it has words, the places after its first being NULL, so positions follow inside the row
-    words = lambda p: F.size(F.split(p, " "))
-    places = F.flatten(F.transform(parts, lambda p: F.concat(F.array(F.struct(words(p).alias("words"), p.alias("term"))), F.array_repeat(F.lit(None).cast("struct<words:int,term:string>"), words(p) - 1))))
-    return docs.select("id", "corpus", F.posexplode(places).alias("pos", "x")).where("x IS NOT NULL").select("id", "corpus", "pos", "x.words", "x.term")
+    parts = docs.select("id", "corpus", phrase_tokens(X.unmarked(F.col("tokens")), phrases).alias("parts"))
+    # a phrase takes as many places as it has words, those after its first being empty, so positions follow inside the row
+    none = F.lit(None).cast("string")
+    places = F.flatten(F.transform("parts", lambda p: F.when(F.contains(p, F.lit(" ")), F.concat(F.array(p), F.array_repeat(none, F.size(F.split(p, " ")) - 1))).otherwise(F.array(p))))
+    rows = parts.select("id", "corpus", F.posexplode(places).alias("pos", "term")).where("term IS NOT NULL")
+    return rows.select("id", "corpus", "pos", (F.length("term") - F.length(F.replace("term", F.lit(" "), F.lit(""))) + 1).alias("words"), "term")
 
 
 def enough_mentions(found: DataFrame, least: int = 2) -> DataFrame:

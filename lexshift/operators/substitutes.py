@@ -12,6 +12,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexshift.operators import index
 from lexshift.workdir import cut
 
 
@@ -45,8 +46,8 @@ class BigramModel:
 
     @classmethod
     def fit(cls, adjacent: DataFrame, counts: DataFrame, stopwords: DataFrame, width: int = 30) -> BigramModel:
-        """From counts of adjacent words (``adjacent``) and of words (``term, n``)."""
-        pairs = cut(bigrams_of(adjacent))  # counted once, read for both sides
+        """From written counts of adjacent words (``l, term, n``) and counts of words (``term, n``)."""
+        pairs = adjacent.where("l IS NOT NULL").select("l", F.col("term").alias("r"), "n")
         fit = counts.where(acceptable(F.col("term"))).join(stopwords.select(F.col("word").alias("term")).distinct(), "term", "left_anti").select(F.col("term").alias("c"), F.col("n").alias("n_c"))
 
         def side(given: str, other: str) -> DataFrame:
@@ -60,30 +61,23 @@ class BigramModel:
     def substitutes(self, contexts: DataFrame, top_k: int = 5) -> DataFrame:
         none = F.create_map().cast("map<string,struct<n:bigint,n_c:bigint>>")
         both = contexts.join(self.after, "l", "left").join(self.before, "r", "left").select(*contexts.columns, F.coalesce("after", none).alias("after"), F.coalesce("before", none).alias("before"))
-        one = lambda e, la, be: F.struct((-((la + 1) * (be + 1) / e["value"]["n_c"])).alias("cost"), e["key"].alias("c"))
-        zero = F.lit(0).cast("bigint")
-        by_left = F.transform(F.map_entries("after"), lambda e: one(e, e["value"]["n"], F.coalesce(F.try_element_at("before", e["key"])["n"], zero)))
-        by_right = F.transform(F.filter(F.map_entries("before"), lambda e: F.try_element_at("after", e["key"]).isNull()), lambda e: one(e, zero, e["value"]["n"]))
+        n = lambda e: F.coalesce(e["n"], F.lit(0).cast("bigint")) + 1
+        costs = F.map_zip_with("after", "before", lambda c, a, b: -(n(a) * n(b) / F.coalesce(a["n_c"], b["n_c"])))
         # sort_array orders the structs natively; a comparator would be interpreted
-        ranked = F.slice(F.sort_array(F.concat(by_left, by_right)), 1, top_k)
+        ranked = F.slice(F.sort_array(F.transform(F.map_entries(costs), lambda e: F.struct(e["value"].alias("cost"), e["key"].alias("c")))), 1, top_k)
         return both.select(*contexts.columns, F.transform(ranked, lambda x: x["c"]).alias("top_terms"))
 
 
-def adjacent(beside: DataFrame) -> DataFrame:
-    """``l, term, corpus, n``: how often a word stands after another, by corpus; ``l`` is NULL at the beginning.
+def adjacent(beside: DataFrame, halves: tuple[str, str]) -> DataFrame:
+    """``l, term, n, n_a, n_b``: how often a word stands after another, in all and by corpus; ``l`` is NULL at the beginning.
 
-    All counts of words and of pairs of them add up from here, so the tokens are read once for both.
+    Counts of words add up from those of pairs, so the tokens are read once for both.
     """
-    return beside.groupBy("l", "term", "corpus").agg(F.count("*").alias("n"))
-
-
-def bigrams_of(adjacent: DataFrame) -> DataFrame:
-    """``l, r, n``: how often two words stand side by side."""
-    return adjacent.where("l IS NOT NULL").groupBy("l", F.col("term").alias("r")).agg(F.sum("n").alias("n"))
+    return index.term_counts_by_corpus(beside, halves, "l")
 
 
 def bigrams(beside: DataFrame) -> DataFrame:
-    """The same from the tokens."""
+    """``l, r, n``: how often two words stand side by side."""
     return beside.where("l IS NOT NULL").groupBy("l", F.col("term").alias("r")).agg(F.count("*").alias("n"))
 
 

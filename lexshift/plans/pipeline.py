@@ -33,8 +33,8 @@ class Config:
 def lexical_change(docs: DataFrame, stopwords: DataFrame, config: Config, targets: DataFrame | None = None, model: SubstituteModel | None = None) -> DataFrame:
     """``term, n, jsd, neighbours, scaled_jsd`` of the valid terms, and of the targets if given, of ``id, corpus, tokens``."""
     beside = context.neighbours(docs)
-    pairs = cut(adjacent(beside))  # one pass over the tokens for all counts of words and of pairs
-    counts = cut(index.summed_by_corpus(pairs, config.halves))  # a row a term, read several times
+    pairs = cut(adjacent(beside, config.halves))  # one pass over the tokens for all counts of words and of pairs
+    counts = cut(index.summed(pairs))  # a row a term, read several times
     valid = index.valid_terms(counts, config.min_count, config.min_per_corpus)
     wanted = counts.join(index.union_terms(valid, targets), "term", "left_semi") if targets is not None else valid
     found = index.capped(beside, config.cap, config.seed, wanted)

@@ -337,8 +337,8 @@ def bigram_model(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT m.term, m.id, m.corpus, m.pos, string_agg(s.sub, ' ' ORDER BY s.rank) AS top_terms FROM mentions m LEFT JOIN ranked s ON s.l IS NOT DISTINCT FROM m.l AND s.r IS NOT DISTINCT FROM m.r GROUP BY ALL", "mentions", "ranked")
 def substitutes_topk(spark: SparkSession, folder: str) -> DataFrame:
     beside = context.neighbours(_docs(spark, folder))
-    pairs = cut(model.adjacent(beside))
-    counts = cut(index.summed_by_corpus(pairs, HALVES))
+    pairs = cut(model.adjacent(beside, HALVES))
+    counts = cut(index.summed(pairs))
     found = index.capped(beside, counts=index.valid_terms(counts))
     rows = model.substitutes(found, model.BigramModel.fit(pairs, counts, _stopwords(spark, folder)))
     return rows.select("term", "id", "corpus", "pos", F.when(F.size("top_terms") > 0, F.array_join("top_terms", " ")).alias("top_terms"))

@@ -8,8 +8,8 @@ from pyspark.sql import types as T
 
 from lexshift.workdir import bytes_of, cut
 
-#: Keys that occur more than once, up to which they are sent to every task as 64-bit hashes.
-REPEATED_KEYS = 1_000_000
+#: Keys that occur more than once, up to which they are sent to every task as 64-bit hashes; bytes of a table up to which a pass over its keys is not worth the shuffle it saves.
+REPEATED_KEYS, SMALL_BYTES = 1_000_000, 32_000_000
 #: Bytes of a written table up to which it is broadcast to be joined; rows of one key from which on they are spread over tasks, and how many such keys there are at most.
 BROADCAST_BYTES, HOT_ROWS, HOT_KEYS = 4_000_000, 100_000, 10_000
 
@@ -18,12 +18,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def one_per_key(df: DataFrame, *keys: str, limit: int = REPEATED_KEYS) -> DataFrame:
+def one_per_key(df: DataFrame, *keys: str, limit: int = REPEATED_KEYS, small: int = SMALL_BYTES) -> DataFrame:
     """One row per key, for tables whose repeated rows agree in the columns kept here.
 
     Spark keeps one row per key on the map side already, so a key that holds a third of all rows arrives as one row
-    per input partition. NULL is a key like any other.
+    per input partition. NULL is a key like any other. In a table of over ``small`` bytes only rows of repeated keys are
+    shuffled (``parted``); the rows that come out are the same.
     """
+    if bytes_of(df) <= small:
+        return df.dropDuplicates(list(keys))
     apart, again = parted(df, *keys, limit=limit)
     return again.dropDuplicates(list(keys)) if apart is None else apart.unionByName(again.dropDuplicates(list(keys)))
 

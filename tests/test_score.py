@@ -67,7 +67,7 @@ def test_native_model(spark):
     beside = spark.createDataFrame([("b", "a", "c"), ("b", "a", "c"), ("d", "a", "c"), ("c", "b", None), ("c", "b", None), ("c", "d", None), ("a", None, "b")], "term string, l string, r string")
     beside = beside.withColumn("term", F.concat("term", "term")).withColumn("l", F.concat("l", "l")).withColumn("r", F.concat("r", "r"))
     counts = beside.groupBy("term").agg(F.count("*").alias("n"))
-    model = S.BigramModel.fit(S.adjacent(beside.withColumn("corpus", F.lit("A"))), counts, spark.createDataFrame([], "word string"))
+    model = S.BigramModel.fit(S.adjacent(beside.withColumn("corpus", F.lit("A")), ("A", "B")), counts, spark.createDataFrame([], "word string"))
     got = model.substitutes(spark.createDataFrame([("aa", "cc"), (None, "cc"), ("zz", None)], "l string, r string"), 5)
     by = {(r["l"], r["r"]): r["top_terms"] for r in got.collect()}
     assert by == {("aa", "cc"): ["bb", "dd"], (None, "cc"): ["dd", "bb"], ("zz", None): []}  # 9/2 and 4/1; 3/2 and 2/1

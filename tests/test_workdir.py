@@ -41,6 +41,7 @@ def test_one_row_a_key(spark, limit):
     df = spark.createDataFrame(rows, "id string, `x y` int").repartition(3)
     assert sorted(map(str, one_per_key(df, "id", limit=limit).collect())) == sorted({str(x) for x in df.collect()})
     assert one_per_key(df, "id", "x y", limit=limit).count() == 54
+    assert sorted(map(str, one_per_key(df, "id", small=10**30).collect())) == sorted({str(x) for x in df.collect()})
     assert one_per_key(df.limit(0), "id", limit=limit).count() == 0
     apart, again = parted(df, "id", limit=limit)
     assert (apart is None and again.count() == 56) if not limit else (apart.count() == 52 and again.count() == 4)
