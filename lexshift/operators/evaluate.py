@@ -20,6 +20,12 @@ def scored_pairs(scores: DataFrame, gold: DataFrame, column: str = "scaled_jsd",
     return scores.select("term", F.col(column).alias("x")).where("x IS NOT NULL").join(wanted, "term")
 
 
+def without_excluded(scores: DataFrame, gold: DataFrame, column: str = "scaled_jsd") -> DataFrame:
+    """The correlations without EXCLUDED, and without EXCLUDED_THEN; ``without`` says which."""
+    a, b = (correlations(scored_pairs(scores, gold, column, words)).select(F.lit(name).alias("without"), "*") for name, words in (("excluded", EXCLUDED), ("excluded_then", EXCLUDED_THEN)))
+    return a.union(b)
+
+
 def unscored(scores: DataFrame, gold: DataFrame) -> DataFrame:
     return gold.select("term").distinct().join(scores, "term", "left_anti")
 

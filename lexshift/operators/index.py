@@ -13,9 +13,10 @@ from lexshift.operators.corpus import unit
 from lexshift.workdir import cut
 
 
-def positions(docs: DataFrame) -> DataFrame:
-    """``id, corpus, pos, term`` of every token of ``id, corpus, tokens``; marks are removed."""
-    return docs.select("id", "corpus", F.posexplode("tokens").alias("pos", "token")).select("id", "corpus", "pos", X.unmark(F.col("token")).alias("term")).where("term IS NOT NULL")
+def positions(docs: DataFrame, surface: bool = False) -> DataFrame:
+    """``id, corpus, pos, term`` of every token of ``id, corpus, tokens``; marks are removed. surface: the token with its marks besides."""
+    more = [F.col("token").alias("surface")] if surface else []
+    return docs.select("id", "corpus", F.posexplode("tokens").alias("pos", "token")).select("id", "corpus", "pos", X.unmark(F.col("token")).alias("term"), *more).where("term IS NOT NULL")
 
 
 def term_counts(terms: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def valid_terms(counts: DataFrame, min_count: int = 20, min_per_corpus: int = 3)
     return counts.where((F.col("n") >= min_count) & (F.least("n_a", "n_b") >= min_per_corpus) & looks_valid(F.col("term")))
 
 
-def min_background_count(target_counts: DataFrame) -> Column:
+def min_background_count() -> Column:
     """Half the rarest target's count, rounded down, as an aggregate."""
     return F.floor(F.min("n") / 2)
 
@@ -63,6 +64,22 @@ def background(valid: DataFrame, targets: DataFrame, most: int, seed: int = 42)
     return valid.join(targets.select("term").distinct(), "term", "left_anti").orderBy(_hash(seed, "term"), "term").limit(most)
 
 
+def background_beside(valid: DataFrame, targets: DataFrame, most: int, seed: int = 42) -> DataFrame:
+    """So many background terms that with the targets, which are counted, there are ``most`` at the most."""
+    return background(valid, targets, max(0, most - targets.select("term").distinct().count()), seed)
+
+
+def valid_beside(counts: DataFrame, targets: DataFrame) -> DataFrame:
+    """Rows of ``term, n, ..`` that look valid and are at least half as frequent as the rarest target; without targets none."""
+    least = counts.join(targets.select("term").distinct(), "term", "left_semi").agg(min_background_count().alias("k")).first()["k"]
+    return counts.where((F.col("n") >= F.lit(least)) & looks_valid(F.col("term")))
+
+
+def from_offset(terms: DataFrame, start: int) -> DataFrame:
+    """``term``: all but the first ``start`` in order, to go on with what an earlier run has left."""
+    return terms.select("term").distinct().orderBy("term").offset(start)
+
+
 def stratified(counts: DataFrame, most: int, seed: int = 42) -> DataFrame:
     """At most ``most`` terms, spread over counts: in each round one term of every count, counts and terms in hash order."""
     turn = F.row_number().over(Window.partitionBy("n").orderBy(_hash(seed, "term"), "term"))

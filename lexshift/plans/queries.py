@@ -160,7 +160,7 @@ def german_letters(spark: SparkSession, folder: str) -> DataFrame:
     return _lines(spark, folder).select("id", X.german(F.col("lemmas")).alias("lemmas"))
 
 
-@query()
+@query("SELECT id, strip_accents(lemmas) AS lemmas FROM lines", "lines")
 def accents_stripped(spark: SparkSession, folder: str) -> DataFrame:
     return _lines(spark, folder).select("id", X.strip_accents(F.col("lemmas")).alias("lemmas"))
 
@@ -175,6 +175,14 @@ def redaction_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.redaction_chunks(_texts(spark, folder), "id", "text")
 
 
+@query(
+    "SELECT words::INTEGER AS words, count(*)::BIGINT AS n FROM (SELECT len(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')) AS words FROM (SELECT " + _STRIP + " AS text FROM (SELECT unnest(string_split(text, '@ @ @ @ @ @ @ @ @ @')) AS text FROM texts WHERE text IS NOT NULL)) WHERE length(text) > 8) GROUP BY words",
+    "texts",
+)
+def chunk_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus.chunk_lengths(redaction_chunks(spark, folder))
+
+
 @query("SELECT id, CASE WHEN pub_year < 1980 THEN 'year<1980.0' WHEN pub_year >= 1980 THEN 'year>=1980.0' END AS by_year, CASE WHEN decade < 1980 THEN 'pre1980s' ELSE 'post1970s' END AS by_decade FROM texts", "texts")
 def corpus_split_threshold(spark: SparkSession, folder: str) -> DataFrame:
     return _texts(spark, folder).select("id", corpus.threshold_label(F.col("pub_year"), "year", 1980).alias("by_year"), corpus.half_of_decade(F.col("decade")).alias("by_decade"))
@@ -252,6 +260,34 @@ def background_terms_anti(spark: SparkSession, folder: str) -> DataFrame:
     return index.background(index.valid_terms(_counts(spark, folder)), _targets(spark, folder), 10_000)
 
 
+@query("SELECT * FROM valid ANTI JOIN targets USING (term) ORDER BY md5(concat_ws('|', '42', term)), term LIMIT greatest(0, 400 - (SELECT count(*) FROM targets))", "valid", "targets")
+def background_beside_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """So many background terms that there are 400 with the targets."""
+    return index.background_beside(index.valid_terms(_counts(spark, folder)), _targets(spark, folder), 400)
+
+
+@query(
+    ", least_ AS (SELECT floor(min(n) / 2) AS k FROM counts SEMI JOIN targets USING (term))\nSELECT c.* FROM counts c, least_ WHERE n >= k AND length(split_part(term, '_', 1)) >= 2 AND NOT contains(term, '/') AND regexp_matches(split_part(term, '_', 1), '[a-zA-Z0-9]')",
+    "counts",
+    "targets",
+)
+def valid_lemmas(spark: SparkSession, folder: str) -> DataFrame:
+    """Background terms that are at least half as frequent as the rarest target."""
+    counts = cut(_counts(spark, folder))
+    return index.valid_beside(counts, _targets(spark, folder))
+
+
+@query("SELECT term FROM valid ORDER BY term OFFSET 100", "valid")
+def terms_from_offset(spark: SparkSession, folder: str) -> DataFrame:
+    return index.from_offset(index.valid_terms(_counts(spark, folder)), 100)
+
+
+@query("SELECT id, corpus, pos, replace(token, '##', '') AS term, token AS surface FROM (SELECT id, corpus, unnest(range(len(tokens)))::INTEGER AS pos, unnest(tokens) AS token FROM docs) WHERE replace(token, '##', '') IN (SELECT term FROM targets)", "docs", "targets")
+def mention_surfaces(spark: SparkSession, folder: str) -> DataFrame:
+    """The mentions of targets, single ones too, with their tokens as they stand."""
+    return index.mentions(index.positions(_docs(spark, folder), surface=True), _targets(spark, folder)).select("id", "corpus", "pos", "term", "surface")
+
+
 @query("SELECT w.* FROM words w SEMI JOIN targets USING (term)", "words", "targets")
 def target_mentions_semi(spark: SparkSession, folder: str) -> DataFrame:
     return index.mentions(_words(spark, folder), _targets(spark, folder)).select("id", "corpus", "pos", "term")
@@ -412,18 +448,30 @@ def top_replacements_side_by_side(spark: SparkSession, folder: str) -> DataFrame
     return replacements.side_by_side(score.histogram(_subs(spark, folder)), HALVES)
 
 
-@query()
+@query("SELECT '{' || string_agg(to_json(term) || ':' || coalesce(to_json(scaled_jsd)::VARCHAR, 'null'), ',' ORDER BY term) || '}' AS value FROM scaled", "scaled")
 def score_map(spark: SparkSession, folder: str) -> DataFrame:
     return sinks.score_map(_scaled(spark, folder))
 
 
-@query()
+@query(
+    """, part AS (SELECT id, ('0x' || substr(md5(concat_ws('|', '42', id)), 1, 8))::BIGINT / 4294967296.0 <= 0.05 AS val, list_transform(tokens, lambda t: replace(t, '##', '')) AS t FROM docs),
+b AS (SELECT val, t[i - 1] AS l, t[i] AS r FROM (SELECT val, t, unnest(range(1, len(t) + 1)) AS i FROM part) WHERE t[i] IS NOT NULL),
+tr AS (SELECT l, r, count(*) AS n FROM b WHERE NOT val AND l IS NOT NULL GROUP BY ALL), lefts AS (SELECT l, sum(n) AS n FROM tr GROUP BY l), v AS (SELECT count(DISTINCT r) AS v FROM b WHERE NOT val),
+s AS (SELECT x.n, ln((coalesce(tr.n, 0) + 1) / (coalesce(lefts.n, 0) + v + 1)) AS p FROM (SELECT l, r, count(*) AS n FROM b WHERE val AND l IS NOT NULL GROUP BY ALL) x LEFT JOIN tr ON tr.l = x.l AND tr.r = x.r LEFT JOIN lefts ON lefts.l = x.l, v)
+SELECT sum(n)::BIGINT AS tokens, round(exp(-sum(n * p) / sum(n)), 6) AS perplexity FROM s""",
+    "docs",
+)
 def perplexity(spark: SparkSession, folder: str) -> DataFrame:
     rows = corpus.train_val(_docs(spark, folder), "id")
     train, val = (context.neighbours(rows.where(F.col("part") == p).drop("part")) for p in ("train", "val"))
     return model.perplexity(train, val)
 
 
+@query("SELECT sub, n::BIGINT AS n, row_number() OVER (ORDER BY n DESC, sub)::INTEGER AS rank FROM (SELECT sub, sum(n) AS n FROM hist GROUP BY sub) ORDER BY n DESC, sub LIMIT 10", "hist")
+def top_substitutes(spark: SparkSession, folder: str) -> DataFrame:
+    return replacements.most_common_overall(score.histogram(_subs(spark, folder)))
+
+
 # Evaluation
 
 _RANKS = ", r AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM judged)\n"
@@ -439,6 +487,28 @@ def gold_p_values(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.correlations(_judged(spark, folder))
 
 
+_WITHOUT = {"excluded": evaluate.EXCLUDED, "excluded_then": evaluate.EXCLUDED_THEN}
+
+
+@query(
+    ",\n"
+    + ",\n".join(f"{k} AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM judged WHERE term NOT IN ({', '.join(map(repr, ws))}))" for k, ws in _WITHOUT.items())
+    + "\n"
+    + " UNION ALL ".join(f"SELECT '{k}' AS without, count(*)::BIGINT AS pairs, round(corr(x, y), 9) AS pearson, round(corr(rx, ry), 9) AS spearman FROM {k}" for k in _WITHOUT),
+    "judged",
+)
+def gold_without_excluded(spark: SparkSession, folder: str) -> DataFrame:
+    """The correlations without the words that are left out first, and without those left out then."""
+    scores, gold = cut(_scaled(spark, folder)), table(spark, folder, "gold")
+    return evaluate.without_excluded(scores, gold).select("without", "pairs", "pearson", "spearman")
+
+
+@query("SELECT term, x, y FROM judged", "judged")
+def gold_scatter(spark: SparkSession, folder: str) -> DataFrame:
+    """The points of the figure whose line is ``ols_fit``."""
+    return _judged(spark, folder).select("term", "x", "y")
+
+
 @query("SELECT count(*)::BIGINT AS pairs, round(regr_slope(y, x), 9) AS slope, round(regr_intercept(y, x), 9) AS intercept, round(avg(x), 9) AS mean_x, round(regr_sxx(y, x), 9) AS sxx, round(sqrt(greatest(regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x), 0) / (count(*) - 2)), 9) AS error FROM judged", "judged")
 def ols_fit(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.least_squares(_judged(spark, folder))
@@ -510,9 +580,22 @@ def alignment_word_scores(spark: SparkSession, folder: str) -> DataFrame:
     return align.scores(_word_lines(spark, folder)).select("id", "word_match_score")
 
 
-@query()
+# DuckDB's distance counts bytes, so words with other letters are compared by code points, row by row of the edit matrix.
+_DISTANCE = """CASE WHEN length(t) = strlen(t) AND length(w) = strlen(w) THEN levenshtein(t, w) ELSE list_last(list_reduce(range(1, length(t) + 1), lambda r, i:
+  list_reduce(range(1, length(w) + 1), lambda acc, j: list_append(acc, least(list_last(acc) + 1, r[j + 1] + 1, r[j] + CASE WHEN substr(t, i, 1) = substr(w, j, 1) THEN 0 ELSE 1 END)), [i]), range(0, length(w) + 1))) END"""
+
+
+@query(
+    r""", x AS (SELECT id, list_filter(string_split_regex(tokens, '\s+'), lambda w: w <> '') AS t, list_filter(string_split_regex(lemmas, '\s+'), lambda w: w <> '') AS l, alignment FROM lines WHERE alignment IS NOT NULL),
+p AS (SELECT id, a.token_idx < 0 AS no_t, a.lemma_idx < 0 AS no_l, CASE WHEN a.token_idx >= 0 THEN t[a.token_idx + 1] END AS t, CASE WHEN a.lemma_idx >= 0 THEN l[a.lemma_idx + 1] END AS w FROM (SELECT id, t, l, unnest(alignment) AS a FROM x)),
+d AS (SELECT t, w, """
+    + _DISTANCE
+    + """ AS d FROM (SELECT DISTINCT t, w FROM p WHERE t <> w)),
+s AS (SELECT p.id, coalesce(CASE WHEN no_t THEN length(p.w) WHEN no_l THEN length(p.t) WHEN p.t = p.w THEN 0 ELSE d + 1 END, 0) AS cost, CASE WHEN p.t = p.w THEN 0 ELSE 1 END AS unequal FROM p LEFT JOIN d ON d.t = p.t AND d.w = p.w)
+SELECT x.id, coalesce(sum(cost), 0)::INTEGER AS score, coalesce(sum(unequal), 0)::INTEGER AS word_match_score FROM x LEFT JOIN s ON s.id = x.id GROUP BY x.id""",
+    "lines",
+)
 def alignment_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Edit costs count code points; DuckDB's distance counts bytes, so there is no SQL."""
     return align.scores(_word_lines(spark, folder))
 
 
@@ -522,6 +605,17 @@ def align_documents(spark: SparkSession, folder: str) -> DataFrame:
     return align.scores(rows).join(rows.select("id", F.to_json("alignment").alias("alignment")), "id")
 
 
+@query(
+    r"SELECT id, len(list_filter(string_split_regex(tokens, '\s+'), lambda w: w <> ''))::INTEGER AS tokens, len(list_filter(string_split_regex(lemmas, '\s+'), lambda w: w <> ''))::INTEGER AS lemmas, true AS each_once FROM lines WHERE tokens IS NOT NULL",
+    "lines",
+)
+def alignment_covers(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the alignment of each line has every token and every lemma once."""
+    rows = _word_lines(spark, folder).select("id", F.size("t").alias("tokens"), F.size("l").alias("lemmas"), align.align(F.col("t"), F.col("l")).alias("a"))
+    once = lambda c, n: F.array_sort(F.filter(F.col(f"a.{c}"), lambda i: i >= 0)) == F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    return rows.where("a IS NOT NULL").select("id", "tokens", "lemmas", (once("token_idx", "tokens") & once("lemma_idx", "lemmas")).alias("each_once"))
+
+
 @query("SELECT term, least(x, y) AS a, greatest(x, y) AS b, count(*)::BIGINT AS n FROM (SELECT term, s[i] AS x, unnest(s[i + 1:]) AS y FROM (SELECT term, s, unnest(range(1, len(s) + 1)) AS i FROM few)) WHERE x <> y GROUP BY ALL", "few")
 def cooccurrence_edges(spark: SparkSession, folder: str) -> DataFrame:
     return cluster.edges(_subs(spark, folder))
@@ -559,6 +653,19 @@ def cluster_summary(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("term", "cluster", "n", F.to_json("members").alias("members"))
 
 
+@query(
+    """, e AS (SELECT term, x FROM (SELECT term, s[i] AS x, unnest(s[i + 1:]) AS y FROM (SELECT term, s, unnest(range(1, len(s) + 1)) AS i FROM few)) WHERE x <> y UNION SELECT term, y FROM (SELECT term, s[i] AS x, unnest(s[i + 1:]) AS y FROM (SELECT term, s, unnest(range(1, len(s) + 1)) AS i FROM few)) WHERE x <> y)
+SELECT term, (SELECT count(*) FROM e WHERE e.term = k.term)::BIGINT AS subs, (SELECT count(*) FROM few WHERE few.term = k.term AND len(s) > 0)::BIGINT AS mentions, true AS apart FROM (SELECT DISTINCT term FROM e) k""",
+    "few",
+)
+def cluster_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each term's clusters the substitutes and mentions in all: every substitute with an edge is in one of them, and every mention."""
+    rows = cut(cluster_summary(spark, folder).select("term", "n", F.from_json("members", "array<struct<sub:string>>")["sub"].alias("subs")))
+    of = rows.groupBy("term").agg(F.sum("n").alias("mentions"), F.sum(F.size("subs")).alias("all"))
+    once = rows.select("term", F.explode("subs").alias("sub")).groupBy("term").agg(F.count_distinct("sub").alias("subs"))
+    return of.join(once, "term").select("term", "subs", "mentions", (F.col("all") == F.col("subs")).alias("apart"))
+
+
 @query("SELECT lang, word FROM stopwords GROUP BY ALL")
 def stopword_lists(spark: SparkSession, folder: str) -> DataFrame:
     rows = [readers.stopwords_of(table(spark, folder, "stopwords"), lang).select(F.lit(lang).alias("lang"), "word") for lang in readers.STOPWORD_LANGUAGES]
