@@ -52,16 +52,24 @@ def import_lines(spark: SparkSession, a: Args) -> DataFrame:
     return (readers.token_lines if a.kind == "tokens" else readers.lemma_lines)(lines, a.lang)
 
 
-@command(TEXT, opt("id-field", default="id"), opt("text-field", default="text"), opt("source-field", default="source"), opt("source-field-threshold", type=float))
+@command(TEXT, opt("id-field", default="id"), opt("text-field", default="text"), opt("source-field", default="source"), opt("source-field-threshold", type=float), opt("vocabulary", help="a word piece a line; without it, words and signs"))
 def tokenize(spark: SparkSession, a: Args) -> DataFrame:
     rows = readers.json_documents(spark, a.infile, a.id_field, a.text_field, a.source_field)
     label = F.col("source") if a.source_field_threshold is None else corpus.threshold_label(F.col("source"), a.source_field, a.source_field_threshold)
-    return corpus.tokenized(rows, "id", "text", label)
+    split = (lambda c: X.rejoined(X.wordpiece(c, a.vocabulary))) if a.vocabulary else X.regex_tokens
+    return corpus.tokenized(rows, "id", "text", label, split)
 
 
-@command(DOCS, opt("lexicon", required=True, help="parquet with token, lemma, pos"))
+@command(DOCS, opt("lexicon", help="parquet with token, lemma, pos"), opt("parsed", help="parquet with id and parts (text, lemma, pos, touches) of another lemmatizer"))
 def lemmatize(spark: SparkSession, a: Args) -> DataFrame:
-    return lemmas.lemmatized(spark.read.parquet(a.docs), spark.read.parquet(a.lexicon))
+    docs = spark.read.parquet(a.docs)
+    if a.parsed:
+        out = cut(lemmas.parsed(docs, spark.read.parquet(a.parsed)))
+        lemmas.uneven(out).show(truncate=False)
+        return out
+    if not a.lexicon:
+        raise SystemExit("either --lexicon or --parsed is needed")
+    return lemmas.lemmatized(docs, spark.read.parquet(a.lexicon))
 
 
 @command(DOCS, opt("text-out", required=True), opt("val-frac", type=float, default=0.05), SEED)
@@ -70,7 +78,7 @@ def export_for_pretraining(spark: SparkSession, a: Args) -> None:
     sinks.training_text(docs.select("id", "part", F.array_join(X.unmarked(F.col("tokens")), " ").alias("text")), a.text_out, a.seed)
 
 
-@command(DOCS, opt("unit", default="token"), TARGETS, opt("min-count", type=int, default=20), opt("min-count-per-corpus", type=int, default=3), opt("max-terms", type=int), opt("max-tokens", type=int, default=4000), opt("stratified", action="store_true"), SEED)
+@command(DOCS, opt("unit", default="token"), TARGETS, opt("min-count", type=int, default=20), opt("min-count-per-corpus", type=int, default=3), opt("max-terms", type=int), opt("max-tokens", type=int, default=4000), opt("stratified", action="store_true"), opt("beside-targets", action="store_true", help="the threshold is half the count of the rarest target"), SEED)
 def index_terms(spark: SparkSession, a: Args) -> DataFrame:
     docs = spark.read.parquet(a.docs)
     docs = docs if a.unit == "token" else lemmas.as_units(docs, a.unit)
@@ -78,21 +86,26 @@ def index_terms(spark: SparkSession, a: Args) -> DataFrame:
     phrases = [r["term"] for r in targets.where(F.contains("term", F.lit(" "))).collect()]  # a list that people judged
     terms = index.phrase_mentions(docs, phrases) if phrases else index.positions(docs)
     counts = index.term_counts_by_corpus(terms, _halves(docs))
-    valid = index.valid_terms(counts, a.min_count, a.min_count_per_corpus)
+    counts = cut(counts)
+    valid = index.valid_beside(counts, targets) if a.beside_targets else index.valid_terms(counts, a.min_count, a.min_count_per_corpus)
     if a.max_terms:
-        valid = index.stratified(valid.join(targets, "term", "left_anti"), a.max_terms, a.seed) if a.stratified else index.background(valid, targets, a.max_terms, a.seed)
+        valid = index.stratified(valid.join(targets, "term", "left_anti"), a.max_terms, a.seed) if a.stratified else index.background_beside(valid, targets, a.max_terms, a.seed)
     wanted = counts.join(index.union_terms(valid, targets), "term", "left_semi").select("term", "n")
     return index.capped(terms, a.max_tokens, a.seed, wanted).join(wanted, "term")
 
 
-@command(DOCS, INDEX, opt("stopwords", required=True, help="a word a line"), TOP_K, opt("allow-single", action="store_true"))
+@command(DOCS, INDEX, opt("stopwords", required=True, help="a word a line"), TOP_K, opt("allow-single", action="store_true", help="keep terms with one mention, and show every mention's token as it stands"), opt("start", type=int, default=0, help="leave out so many terms, in order"))
 def get_substitutes(spark: SparkSession, a: Args) -> DataFrame:
-    beside = context.neighbours(spark.read.parquet(a.docs))
-    found = index.enough_mentions(spark.read.parquet(a.index).select("term", "id", "pos"), 1 if a.allow_single else 2)
+    docs = spark.read.parquet(a.docs)
+    beside = context.neighbours(docs)
+    found = spark.read.parquet(a.index).select("term", "id", "pos")
+    found = index.mentions(found, index.from_offset(found, a.start)) if a.start else found
+    found = index.enough_mentions(found, 1 if a.allow_single else 2)
     placed = found.join(beside.drop("term"), ["id", "pos"])
     pairs = cut(model.adjacent(beside, ("", "")))  # no counts by corpus are needed
     fitted = model.BigramModel.fit(pairs, index.summed(pairs), readers.stopwords(spark, a.stopwords))
-    return model.substitutes(placed, fitted, a.top_k)
+    out = model.substitutes(placed, fitted, a.top_k)
+    return out.join(index.positions(docs, surface=True).select("id", "pos", "surface"), ["id", "pos"]) if a.allow_single else out
 
 
 @command(SUBS, INDEX, TOP_K, opt("window-factor", type=float, default=2.0), TARGETS, opt("csv"))
@@ -110,10 +123,13 @@ def compute_jsds(spark: SparkSession, a: Args) -> DataFrame:
     return out
 
 
-@command(SCORES, opt("gold", required=True, help="TSV with term and score"), opt("header", action="store_true"), opt("exclude", default=""))
+@command(SCORES, opt("gold", required=True, help="TSV with term and score"), opt("header", action="store_true"), opt("exclude", default="", help="words, with commas between; decades: those of the decade corpus, in two steps"))
 def evaluate_scores(spark: SparkSession, a: Args) -> DataFrame:
     scores, gold = spark.read.parquet(a.scores), readers.gold(spark, a.gold, a.header)
     evaluate.unscored(scores, gold).show(truncate=False)
+    if a.exclude == "decades":
+        parts = [evaluate.without_excluded(scores, gold, c).select(F.lit(c).alias("of"), "*") for c in ("jsd", "scaled_jsd")]
+        return parts[0].union(parts[1])
     parts = [evaluate.correlations(evaluate.scored_pairs(scores, gold, c, a.exclude.split(","))).select(F.lit(c).alias("of"), "*") for c in ("jsd", "scaled_jsd")]
     return parts[0].union(parts[1])
 
@@ -146,11 +162,14 @@ def index_aligned(spark: SparkSession, a: Args) -> DataFrame:
     return align.indexed_tokens(wanted, align.valid_tokens(wanted, align.TARGET_EXCEPTIONS, True))
 
 
-@command(SUBS, TOP_K, opt("resolution", type=float, default=1.0), opt("min-count", type=int, default=1), SEED)
+@command(SUBS, TOP_K, opt("resolution", type=float, default=1.0), opt("min-count", type=int, default=1), opt("assignments", help="parquet to write, the cluster of every mention"), SEED)
 def do_clustering(spark: SparkSession, a: Args) -> DataFrame:
     subs = spark.read.parquet(a.substitutes)
-    members = cluster.clusters(cluster.edges(subs, a.top_k, a.min_count), a.resolution, a.seed)
-    return cluster.cluster_table(members, score.histogram(subs, a.top_k), cluster.assignments(subs, members, a.top_k))
+    members = cut(cluster.clusters(cluster.edges(subs, a.top_k, a.min_count), a.resolution, a.seed))
+    assigned = cut(cluster.assignments(subs, members, a.top_k))
+    if a.assignments:
+        assigned.write.mode("overwrite").parquet(a.assignments)
+    return cluster.cluster_table(members, score.histogram(subs, a.top_k), assigned)
 
 
 @command(SCORES, opt("gold", required=True))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,9 +56,9 @@ def checked_halves(df: DataFrame, corpus: str = "corpus") -> tuple[str, str]:
     return values[0], values[1]
 
 
-def tokenized(df: DataFrame, key: str, text: str, corpus: Column) -> DataFrame:
-    """``id, corpus, tokens`` of the documents that have tokens after cleaning."""
-    rows = df.select(F.col(key).cast("string").alias("id"), corpus.alias("corpus"), X.regex_tokens(X.clean(F.col(text))).alias("tokens"))
+def tokenized(df: DataFrame, key: str, text: str, corpus: Column, split: Callable[[Column], Column] = X.regex_tokens) -> DataFrame:
+    """``id, corpus, tokens`` of the documents that have tokens after cleaning, by the tokenizer ``split``."""
+    rows = df.select(F.col(key).cast("string").alias("id"), corpus.alias("corpus"), split(X.clean(F.col(text))).alias("tokens"))
     return rows.where(F.size("tokens") > 0)
 
 

@@ -45,6 +45,17 @@ def merged(parts: Column) -> Column:
     return F.transform(first, one)
 
 
+def parsed(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    """``id, corpus, tokens, lemmas, pos`` with what another lemmatizer has found: ``id, parts``, sub-tokens that touch merged.
+
+    Documents that it lacks have empty lists; ``uneven`` tells where lengths differ.
+    """
+    found = parts.select("id", merged(F.col("parts")).alias("m"))
+    none = F.array().cast("array<string>")
+    lists = (F.coalesce(F.col(f"m.{c}"), none).alias(to) for c, to in (("lemma", "lemmas"), ("pos", "pos")))
+    return docs.select("id", "corpus", "tokens").join(found, "id", "left").select("id", "corpus", "tokens", *lists)
+
+
 def uneven(docs: DataFrame) -> DataFrame:
     """The documents whose lists differ in length; none are dropped silently."""
     return docs.where((F.size("tokens") != F.size("lemmas")) | (F.size("tokens") != F.size("pos"))).select("id", F.size("tokens").alias("tokens"), F.size("lemmas").alias("lemmas"))

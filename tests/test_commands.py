@@ -28,7 +28,19 @@ def test_pipeline_by_commands(spark, tmp_path):
     main(["evaluate-scores", "--scores", p("scores"), "--gold", p("gold.tsv"), "--out", p("eval.jsonlist")])
     assert spark.read.json(p("eval.jsonlist")).count() == 2
     main(["gather-top-replacements", "--substitutes", p("subs"), "--out", p("side")])
-    main(["do-clustering", "--substitutes", p("subs"), "--out", p("clusters")])
+    main(["do-clustering", "--substitutes", p("subs"), "--assignments", p("assigned"), "--out", p("clusters")])
+    assigned = spark.read.parquet(p("assigned"))
+    summed = spark.read.parquet(p("clusters")).agg(F.sum("n")).first()[0]
+    assert set(assigned.columns) == {"term", "id", "pos", "cluster", "similarity"} and assigned.count() == summed
+    main(["evaluate-scores", "--scores", p("scores"), "--gold", p("gold.tsv"), "--exclude", "decades", "--out", p("without")])
+    assert sorted(map(tuple, spark.read.parquet(p("without")).select("of", "without").collect())) == [(c, w) for c in ("jsd", "scaled_jsd") for w in ("excluded", "excluded_then")]
+    terms = sorted(r[0] for r in spark.read.parquet(p("index")).select("term").distinct().collect())
+    main(["get-substitutes", "--docs", p("docs"), "--index", p("index"), "--stopwords", p("stop.txt"), "--start", "2", "--allow-single", "--out", p("rest")])
+    rest = spark.read.parquet(p("rest"))
+    assert sorted(r[0] for r in rest.select("term").distinct().collect()) == terms[2:] and rest.where("term <> surface AND term NOT LIKE '% %'").count() == 0
+    main(["index-terms", "--docs", p("docs"), "--targets", p("gold.tsv"), "--beside-targets", "--max-terms", "6", "--out", p("few")])
+    few = {r[0] for r in spark.read.parquet(p("few")).select("term").distinct().collect()}
+    assert len(few) <= 6 and {"house", "mill", "river"} <= few
     main(["export-for-pretraining", "--docs", p("docs"), "--text-out", p("text")])
     n = [spark.read.text(p(f"text/{x}")).count() for x in ("train", "val")]
     assert sum(n) == 300 and spark.read.parquet(p("clusters")).count() > 0
@@ -47,6 +59,24 @@ def test_lemmas(spark):
     assert [tuple(x) for x in parts.select(lemmas.merged(F.col("p"))).first()[0]] == [("don't", "donot", "V"), ("go", "go", "V")]
 
 
+def test_lemmatize_from_a_parser(spark, tmp_path):
+    docs = spark.createDataFrame([("1", "a", ["don't", "go"]), ("2", "b", ["x", "y"]), ("3", "b", ["z"])], "id string, corpus string, tokens array<string>")
+    parts = spark.createDataFrame([("1", [("do", "do", "V", False), ("n't", "not", "P", True), ("go", "go", "V", False)]), ("2", [("x", "x", "N", False)])], "id string, parts array<struct<text:string,lemma:string,pos:string,touches:boolean>>")
+    docs.write.parquet(str(tmp_path / "docs"))
+    parts.write.parquet(str(tmp_path / "parts"))
+    main(["lemmatize", "--docs", str(tmp_path / "docs"), "--parsed", str(tmp_path / "parts"), "--out", str(tmp_path / "out")])
+    got = {r["id"]: (r["lemmas"], r["pos"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"1": (["donot", "go"], ["V", "V"]), "2": (["x"], ["N"]), "3": ([], [])}
+    assert [r[0] for r in lemmas.uneven(spark.read.parquet(str(tmp_path / "out"))).orderBy("id").collect()] == ["2", "3"]
+
+
+def test_tokenize_with_a_vocabulary(spark, tmp_path):
+    (tmp_path / "v.txt").write_text("un\n##known\nword\n")
+    (tmp_path / "d.jsonlist").write_text(json.dumps({"id": "1", "text": "Unknown word", "source": "a"}) + "\n")
+    main(["tokenize", "--infile", str(tmp_path / "d.jsonlist"), "--vocabulary", str(tmp_path / "v.txt"), "--out", str(tmp_path / "out")])
+    assert [list(r["tokens"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [["un##known", "word"]]
+
+
 def test_wordpiece_and_singles(spark, tmp_path):
     (tmp_path / "v.txt").write_text("un\n##known\n##k\nword\n,\n")
     df = spark.createDataFrame([("Unknown, word zz",), (None,)], "t string")
