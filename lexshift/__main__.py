@@ -41,6 +41,10 @@ def _halves(df: DataFrame) -> tuple[str, str]:
     return corpus.checked_halves(df)
 
 
+def _stopwords(spark: SparkSession, given: str) -> DataFrame:
+    return readers.package_stopwords(spark, given) if given in readers.STOPWORD_LANGUAGES else readers.stopwords(spark, given)
+
+
 @command(opt("folder", required=True), opt("decades", default="1960,1990"))
 def import_decades(spark: SparkSession, a: Args) -> DataFrame:
     return readers.decade_files(spark, a.folder, [int(d) for d in a.decades.split(",")])
@@ -94,7 +98,7 @@ def index_terms(spark: SparkSession, a: Args) -> DataFrame:
     return index.capped(terms, a.max_tokens, a.seed, wanted).join(wanted, "term")
 
 
-@command(DOCS, INDEX, opt("stopwords", required=True, help="a word a line"), TOP_K, opt("allow-single", action="store_true", help="keep terms with one mention, and show every mention's token as it stands"), opt("start", type=int, default=0, help="leave out so many terms, in order"))
+@command(DOCS, INDEX, opt("stopwords", required=True, help="a word a line, or the code of a language whose list comes with the package"), TOP_K, opt("allow-single", action="store_true", help="keep terms with one mention, and show every mention's token as it stands"), opt("start", type=int, default=0, help="leave out so many terms, in order"))
 def get_substitutes(spark: SparkSession, a: Args) -> DataFrame:
     docs = spark.read.parquet(a.docs)
     beside = context.neighbours(docs)
@@ -103,7 +107,7 @@ def get_substitutes(spark: SparkSession, a: Args) -> DataFrame:
     found = index.enough_mentions(found, 1 if a.allow_single else 2)
     placed = found.join(beside.drop("term"), ["id", "pos"])
     pairs = cut(model.adjacent(beside, ("", "")))  # no counts by corpus are needed
-    fitted = model.BigramModel.fit(pairs, index.summed(pairs), readers.stopwords(spark, a.stopwords))
+    fitted = model.BigramModel.fit(pairs, index.summed(pairs), _stopwords(spark, a.stopwords))
     out = model.substitutes(placed, fitted, a.top_k)
     return out.join(index.positions(docs, surface=True).select("id", "pos", "surface"), ["id", "pos"]) if a.allow_single else out
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexshift.functions import stopwords as stopword_lists
 from lexshift.functions import text as X
 from lexshift.operators import corpus as C
 from lexshift.workdir import cut
@@ -86,6 +87,11 @@ def stopwords(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(X.strip(F.col("value")).alias("word")).where("word <> ''").distinct()
 
 
+def package_stopwords(spark: SparkSession, lang: str | None) -> DataFrame:
+    """``word`` of a list that comes with the package."""
+    return spark.createDataFrame([(w,) for w in stopword_lists.stopwords(lang)], "word string")
+
+
 def stopwords_of(table: DataFrame, lang: str | None) -> DataFrame:
     """The words of one language of ``lang, word``; None gives none, an unknown language raises."""
     if lang is not None and lang not in STOPWORD_LANGUAGES:

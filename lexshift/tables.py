@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from lexshift.workdir import bytes_of, cut
 
 #: Keys that occur more than once, up to which they are sent to every task as 64-bit hashes; bytes of a table up to which a pass over its keys is not worth the shuffle it saves.
-REPEATED_KEYS, SMALL_BYTES = 1_000_000, 32_000_000
+REPEATED_KEYS, SMALL_BYTES = 1_000_000, 8_000_000
 #: Bytes of a written table up to which it is broadcast to be joined; rows of one key from which on they are spread over tasks, and how many such keys there are at most.
 BROADCAST_BYTES, HOT_ROWS, HOT_KEYS = 4_000_000, 100_000, 10_000
 

@@ -95,3 +95,13 @@ def test_stream_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("running").collect()} == {("x", 4), ("yz", 2)}
+
+
+def test_package_stopwords(spark):
+    got = {x: {r[0] for r in readers.package_stopwords(spark, x).collect()} for x in ("eng", "lat", "swe")}
+    assert "ourselves" in got["eng"] and "quisquis" in got["lat"] and "någon" in got["swe"] and all(len(v) > 80 for v in got.values())
+    assert readers.package_stopwords(spark, None).count() == 0
+    with pytest.raises(ValueError, match="table or file"):
+        readers.package_stopwords(spark, "ger")
+    with pytest.raises(ValueError, match="fra"):
+        readers.package_stopwords(spark, "fra")
