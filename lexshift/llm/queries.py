@@ -43,7 +43,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_pairs(spark: SparkSession, folder: str) -> DataFrame:
     mentions = one_per_key(table(spark, folder, "substitutes").select("term", "line_id", "token_index", "top_terms"), "term", "line_id", "token_index")
-    return pairs.item_pairs(mentions, "top_terms", 1, 0)
+    made = pairs.item_pairs(mentions, "top_terms", 1, 0)
+    return made.withColumn("lift", F.round("lift", 9)).withColumn("pmi", F.round("pmi", 9))
 
 
 FIELDS = (("coha_tokens", "text"), ("matching", "lemmas"))
@@ -125,6 +126,13 @@ s AS (SELECT w, count(*) AS n FROM x GROUP BY w),
 p AS (SELECT a.w AS a, b.w AS b, count(*) AS n FROM x a JOIN x b ON a.i = b.i AND a.w < b.w GROUP BY ALL HAVING count(*) >= 5)
 SELECT p.a AS term_a, p.b AS term_b FROM p JOIN s sa ON sa.w = p.a JOIN s sb ON sb.w = p.b
 WHERE p.n * (SELECT count(*) FROM b) >= 10 * sa.n * sb.n""",
+        "p3_pairs": """
+WITH m AS (SELECT term, line_id, token_index, any_value(top_terms) AS k FROM substitutes GROUP BY ALL),
+b AS (SELECT row_number() OVER () AS i, list_distinct(k) AS k FROM m WHERE len(list_distinct(k)) > 0),
+x AS (SELECT i, unnest(k) AS w FROM b), s AS (SELECT w, count(*) AS n FROM x GROUP BY w), t AS (SELECT count(*) AS n FROM b),
+p AS (SELECT a.w AS a, b.w AS b, count(*) AS n FROM x a JOIN x b ON a.i = b.i AND a.w < b.w GROUP BY ALL)
+SELECT p.a AS item_a, p.b AS item_b, p.n::BIGINT AS n_ab, sa.n::BIGINT AS n_a, sb.n::BIGINT AS n_b, t.n::BIGINT AS n, round(p.n * t.n::DOUBLE / (sa.n * sb.n), 9) AS lift, round(log2(p.n * t.n::DOUBLE / (sa.n * sb.n)), 9) AS pmi
+FROM p JOIN s sa ON sa.w = p.a JOIN s sb ON sb.w = p.b, t""",
         "p5_sample_mentions": """
 WITH m AS (SELECT term, line_id, token_index, any_value(top_terms) AS top_terms FROM substitutes GROUP BY ALL)
 SELECT md5(concat_ws('|', '17', coalesce('=' || term, '!'), coalesce('=' || line_id, '!'), coalesce('=' || token_index, '!'))) AS sample_key, * FROM m ORDER BY sample_key LIMIT 1000""",

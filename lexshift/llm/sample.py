@@ -11,14 +11,15 @@ import heapq
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexshift.tables import quoted
 from lexshift.workdir import cut
 
-#: Records in a production sample; seed; heaps that one task merges.
-SIZE, SEED, FAN_IN = 1000, 17, 32
+#: Records in a production sample; seed; heaps that one task merges; chosen keys up to which they are broadcast to fetch their rows.
+SIZE, SEED, FAN_IN, BROADCAST_KEYS = 1000, 17, 32, 100_000
 
 
 def smallest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -28,6 +29,8 @@ def smallest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
     for b in batches:
         new: dict[str, int] = {}
         bound = heap[0].key if len(heap) >= k else None
+        if bound is not None:
+            b = b.filter(pc.less(b.column(0), bound))  # all but few rows end here
         for i, key in enumerate(b.column(0).to_pylist()):
             if (bound is not None and key >= bound) or key in kept or key in new:
                 continue
@@ -68,7 +71,9 @@ def uniform_sample(df: DataFrame, identity: list[str], k: int = SIZE, seed: int
     parts = [F.coalesce(F.concat(F.lit("="), F.col(quoted(c)).cast("string")), F.lit("!")) for c in identity]
     rest = [quoted(c) for c in df.columns if c.lower() != "sample_key"]
     keyed = df.select(F.md5(F.concat_ws("|", F.lit(str(seed)), *parts)).alias("sample_key"), *rest)
-    return merge_samples(keyed, k, fan_in)
+    chosen = merge_samples(keyed.select("sample_key"), k, fan_in)  # only keys go through the heaps
+    chosen = F.broadcast(chosen) if k <= BROADCAST_KEYS else chosen  # k rows at most
+    return keyed.join(chosen, "sample_key", "left_semi").dropDuplicates(["sample_key"])
 
 
 def merge_samples(keyed: DataFrame, k: int = SIZE, fan_in: int = FAN_IN) -> DataFrame:
