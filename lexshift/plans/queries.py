@@ -647,8 +647,8 @@ def louvain_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def cluster_summary(spark: SparkSession, folder: str) -> DataFrame:
-    found = _subs(spark, folder)
-    members = cluster.clusters(cluster.edges(found))
+    found = cut(_subs(spark, folder))  # read three times
+    members = cut(cluster.clusters(cluster.edges(found)))  # made once
     rows = cluster.cluster_table(members, score.histogram(found), cluster.assignments(found, members))
     return rows.select("term", "cluster", "n", F.to_json("members").alias("members"))
 
