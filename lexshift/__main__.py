@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import shlex
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from lexshift.functions import text as X
 from lexshift.operators import align, cluster, context, corpus, evaluate, index, lemmas, replacements, score
 from lexshift.operators import substitutes as model
 from lexshift.plans.pipeline import Config, change_of
+from lexshift.plans.training import Training
 from lexshift.sources import readers, sinks
 from lexshift.workdir import cut
 
@@ -82,6 +84,11 @@ def export_for_pretraining(spark: SparkSession, a: Args) -> None:
     sinks.training_text(docs.select("id", "part", F.array_join(X.unmarked(F.col("tokens")), " ").alias("text")), a.text_out, a.seed)
 
 
+@command(opt("text", required=True, help="folder of export-for-pretraining"), opt("model", required=True), opt("model-out", required=True), opt("program", required=True, help="the trainer and its own arguments, with blanks between"), opt("epochs", type=int, default=5), opt("batch-size", type=int, default=32), opt("max-length", type=int, default=256), opt("mask-probability", type=float, default=0.15), SEED)
+def train(spark: SparkSession, a: Args) -> None:
+    Training(a.epochs, a.batch_size, a.max_length, a.mask_probability, a.seed).run(shlex.split(a.program), a.text, a.model, a.model_out)
+
+
 @command(DOCS, opt("unit", default="token"), TARGETS, opt("min-count", type=int, default=20), opt("min-count-per-corpus", type=int, default=3), opt("max-terms", type=int), opt("max-tokens", type=int, default=4000), opt("stratified", action="store_true"), opt("beside-targets", action="store_true", help="the threshold is half the count of the rarest target"), SEED)
 def index_terms(spark: SparkSession, a: Args) -> DataFrame:
     docs = spark.read.parquet(a.docs)
@@ -199,7 +206,7 @@ def main(argv: list[str] | None = None) -> None:
         sub = subs.add_parser(name)
         for flag, settings in options:
             sub.add_argument(flag, **settings)
-        sub.add_argument("--out", required=name != "export-for-pretraining", help="parquet, or JSON lines if it ends in .jsonlist")
+        sub.add_argument("--out", required=name not in ("export-for-pretraining", "train"), help="parquet, or JSON lines if it ends in .jsonlist")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("lexshift").getOrCreate()
     result = COMMANDS[args.command][0](spark, args)

@@ -98,3 +98,18 @@ def mlm_chunks(df: DataFrame, key: str, tokens: str, length: int = 256, batch: i
     full = (F.size("all") / F.lit(length)).cast("int")
     return joined.where(full > 0).select("batch", F.posexplode(F.transform(F.sequence(F.lit(0), full - 1), lambda i: F.slice("all", i * length + 1, length))).alias("chunk", "tokens"))
 
+
+def masked_chunks(chunks: DataFrame, share: float = 0.15, seed: int = 42) -> DataFrame:
+    """``batch, chunk, masked, labels`` of ``batch, chunk, tokens`` for masked training.
+
+    About ``share`` of the tokens are to be guessed: of these eight in ten are masked, one is another token of the chunk
+    and one stays; ``labels`` has the token there and NULL elsewhere. Another seed, such as one an epoch, chooses others.
+    """
+    part = lambda h, at: F.conv(F.substring(h, at, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    # three numbers from 0 to below 1 of each place: whether, how, and by which token
+    hashes = F.transform("tokens", lambda t, i: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("batch"), F.col("chunk"), i)))
+    number = lambda h: F.struct(*(part(h, at).alias(n) for n, at in (("whether", 1), ("how", 9), ("which", 17))))
+    rows = chunks.select("batch", "chunk", "tokens", F.transform(hashes, number).alias("u"))
+    other = lambda u: F.get("tokens", F.floor(u["which"] * F.size("tokens")).cast("int"))
+    masked = F.zip_with("tokens", "u", lambda t, u: F.when(u["whether"] >= share, t).when(u["how"] < 0.8, F.lit("[MASK]")).when(u["how"] < 0.9, other(u)).otherwise(t))
+    return rows.select("batch", "chunk", masked.alias("masked"), F.zip_with("tokens", "u", lambda t, u: F.when(u["whether"] < share, t)).alias("labels"))

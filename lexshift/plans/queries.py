@@ -229,6 +229,19 @@ def mlm_chunking(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.mlm_chunks(_docs(spark, folder), "id", "tokens").select("batch", "chunk", F.array_join("tokens", " ").alias("tokens"))
 
 
+_PLACE = "('0x' || substr(md5(concat_ws('|', '42', batch, chunk, i - 1)), {}, 8))::BIGINT / 4294967296.0"
+
+
+@query(
+    ORACLES["mlm_chunking"].replace("array_to_string(k[chunk * 256 + 1 : chunk * 256 + 256], ' ') AS tokens", "k[chunk * 256 + 1 : chunk * 256 + 256] AS k").replace("SELECT batch, chunk::", ", m AS (SELECT batch, chunk::").rstrip()
+    + f"), t AS (SELECT batch, chunk, i, k, k[i] AS t, {_PLACE.format(1)} AS w, {_PLACE.format(9)} AS h, {_PLACE.format(17)} AS o FROM (SELECT batch, chunk, k, unnest(range(1, len(k) + 1)) AS i FROM m))\n"
+    "SELECT batch, chunk, string_agg(CASE WHEN w >= 0.15 THEN t WHEN h < 0.8 THEN '[MASK]' WHEN h < 0.9 THEN k[floor(o * len(k))::INTEGER + 1] ELSE t END, ' ' ORDER BY i) AS masked, string_agg(CASE WHEN w < 0.15 THEN t END, ' ' ORDER BY i) AS labels FROM t GROUP BY batch, chunk"
+)
+def mlm_masked(spark: SparkSession, folder: str) -> DataFrame:
+    rows = corpus.masked_chunks(corpus.mlm_chunks(_docs(spark, folder), "id", "tokens"))
+    return rows.select("batch", "chunk", F.array_join("masked", " ").alias("masked"), F.nullif(F.array_join("labels", " "), F.lit("")).alias("labels"))
+
+
 # Terms
 
 

@@ -1,11 +1,15 @@
 import json
 import random
+import subprocess
+import sys
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexshift.__main__ import main
 from lexshift.functions import text as X
-from lexshift.operators import index, lemmas
+from lexshift.operators import corpus, index, lemmas
+from lexshift.plans.training import Training
 
 
 def test_pipeline_by_commands(spark, tmp_path):
@@ -59,6 +63,27 @@ def test_lemmas(spark):
     assert [tuple(x) for x in parts.select(lemmas.merged(F.col("p"))).first()[0]] == [("don't", "donot", "V"), ("go", "go", "V")]
 
 
+def test_train_calls_the_program(spark, tmp_path):
+    program = tmp_path / "trainer.py"
+    program.write_text("import sys, json; json.dump(sys.argv[1:], open(sys.argv[sys.argv.index('--out') + 1], 'w'))")
+    main(["train", "--text", "t", "--model", "m", "--model-out", str(tmp_path / "o"), "--program", f"{sys.executable} {program}"])
+    got = json.loads((tmp_path / "o").read_text())
+    given = dict(zip(got[::2], got[1::2], strict=True))
+    assert given["--train"] == "t/train" and given["--epochs"] == "5" and given["--batch-size"] == "32" and given["--max-length"] == "256" and given["--mask-probability"] == "0.15"
+    with pytest.raises(subprocess.CalledProcessError):
+        Training().run([sys.executable, "-c", "raise SystemExit(3)"], "t", "m", "o")
+
+
+def test_masked_chunks(spark):
+    df = spark.createDataFrame([(0, k, [f"w{i}" for i in range(256)]) for k in range(40)], "batch int, chunk int, tokens array<string>")
+    rows = corpus.masked_chunks(df).collect()
+    places = [(f"w{i}", m, x) for r in rows for i, (m, x) in enumerate(zip(r["masked"], r["labels"], strict=True))]
+    chosen = [(t, m) for t, m, x in places if x is not None]
+    assert all(x in (None, t) and (x or m == t) for t, m, x in places) and 0.13 < len(chosen) / len(places) < 0.17
+    assert 0.75 < sum(m == "[MASK]" for _, m in chosen) / len(chosen) < 0.85 and 0.07 < sum(m == t for t, m in chosen) / len(chosen) < 0.14
+    assert rows != corpus.masked_chunks(df, seed=43).collect()
+
+
 def test_lemmatize_from_a_parser(spark, tmp_path):
     docs = spark.createDataFrame([("1", "a", ["don't", "go"]), ("2", "b", ["x", "y"]), ("3", "b", ["z"])], "id string, corpus string, tokens array<string>")
     parts = spark.createDataFrame([("1", [("do", "do", "V", False), ("n't", "not", "P", True), ("go", "go", "V", False)]), ("2", [("x", "x", "N", False)])], "id string, parts array<struct<text:string,lemma:string,pos:string,touches:boolean>>")
