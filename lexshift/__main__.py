@@ -89,7 +89,7 @@ def train(spark: SparkSession, a: Args) -> None:
     Training(a.epochs, a.batch_size, a.max_length, a.mask_probability, a.seed).run(shlex.split(a.program), a.text, a.model, a.model_out)
 
 
-@command(DOCS, opt("unit", default="token"), TARGETS, opt("min-count", type=int, default=20), opt("min-count-per-corpus", type=int, default=3), opt("max-terms", type=int), opt("max-tokens", type=int, default=4000), opt("stratified", action="store_true"), opt("beside-targets", action="store_true", help="the threshold is half the count of the rarest target"), SEED)
+@command(DOCS, opt("unit", default="token"), TARGETS, opt("min-count", type=int, default=20), opt("min-count-per-corpus", type=int, default=3), opt("max-terms", type=int), opt("max-tokens", type=int, default=4000), opt("stratified", action="store_true"), opt("beside-targets", action="store_true", help="the threshold is half the count of the rarest target"), opt("maps", help="text to write, a JSON object a term with its mentions"), SEED)
 def index_terms(spark: SparkSession, a: Args) -> DataFrame:
     docs = spark.read.parquet(a.docs)
     docs = docs if a.unit == "token" else lemmas.as_units(docs, a.unit)
@@ -102,10 +102,13 @@ def index_terms(spark: SparkSession, a: Args) -> DataFrame:
     if a.max_terms:
         valid = index.stratified(valid.join(targets, "term", "left_anti"), a.max_terms, a.seed) if a.stratified else index.background_beside(valid, targets, a.max_terms, a.seed)
     wanted = counts.join(index.union_terms(valid, targets), "term", "left_semi").select("term", "n")
-    return index.capped(terms, a.max_tokens, a.seed, wanted).join(wanted, "term")
+    found = cut(index.capped(terms, a.max_tokens, a.seed, wanted).join(wanted, "term"))
+    if a.maps:
+        sinks.index_maps(found).write.mode("overwrite").text(a.maps)
+    return found
 
 
-@command(DOCS, INDEX, opt("stopwords", required=True, help="a word a line, or the code of a language whose list comes with the package"), TOP_K, opt("allow-single", action="store_true", help="keep terms with one mention, and show every mention's token as it stands"), opt("start", type=int, default=0, help="leave out so many terms, in order"))
+@command(DOCS, INDEX, opt("stopwords", required=True, help="a word a line, or the code of a language whose list comes with the package"), TOP_K, opt("allow-single", action="store_true", help="keep terms with one mention, and show every mention's token as it stands"), opt("start", type=int, default=0, help="leave out so many terms, in order"), opt("by-term", help="JSON lines to write, a folder a term"))
 def get_substitutes(spark: SparkSession, a: Args) -> DataFrame:
     docs = spark.read.parquet(a.docs)
     beside = context.neighbours(docs)
@@ -116,7 +119,11 @@ def get_substitutes(spark: SparkSession, a: Args) -> DataFrame:
     pairs = cut(model.adjacent(beside, ("", "")))  # no counts by corpus are needed
     fitted = model.BigramModel.fit(pairs, index.summed(pairs), _stopwords(spark, a.stopwords))
     out = model.substitutes(placed, fitted, a.top_k)
-    return out.join(index.positions(docs, surface=True).select("id", "pos", "surface"), ["id", "pos"]) if a.allow_single else out
+    out = out.join(index.positions(docs, surface=True).select("id", "pos", "surface"), ["id", "pos"]) if a.allow_single else out
+    if a.by_term:
+        out = cut(out)
+        sinks.by_term(out, a.by_term)
+    return out
 
 
 @command(SUBS, INDEX, TOP_K, opt("window-factor", type=float, default=2.0), TARGETS, opt("csv"))

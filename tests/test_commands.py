@@ -10,6 +10,7 @@ from lexshift.__main__ import main
 from lexshift.functions import text as X
 from lexshift.operators import corpus, index, lemmas
 from lexshift.plans.training import Training
+from lexshift.sources import readers
 
 
 def test_pipeline_by_commands(spark, tmp_path):
@@ -24,7 +25,9 @@ def test_pipeline_by_commands(spark, tmp_path):
     main(["tokenize", "--infile", p("d.jsonlist"), "--source-field", "year", "--source-field-threshold", "1980", "--out", p("docs")])
     docs = spark.read.parquet(p("docs"))
     assert {x[0] for x in docs.select("corpus").distinct().collect()} == {"year<1980.0", "year>=1980.0"}
-    main(["index-terms", "--docs", p("docs"), "--targets", p("gold.tsv"), "--out", p("index")])
+    main(["index-terms", "--docs", p("docs"), "--targets", p("gold.tsv"), "--maps", p("maps"), "--out", p("index")])
+    made = spark.read.parquet(p("index")).select("term", F.col("id").cast("string"), "pos")
+    assert sorted(map(tuple, readers.term_index_lines(spark, p("maps")).collect())) == sorted(map(tuple, made.collect()))
     main(["get-substitutes", "--docs", p("docs"), "--index", p("index"), "--stopwords", p("stop.txt"), "--out", p("subs")])
     main(["compute-jsds", "--substitutes", p("subs"), "--index", p("index"), "--csv", p("csv"), "--out", p("scores")])
     scores = {x["term"]: x for x in spark.read.parquet(p("scores")).collect()}
@@ -39,7 +42,8 @@ def test_pipeline_by_commands(spark, tmp_path):
     main(["evaluate-scores", "--scores", p("scores"), "--gold", p("gold.tsv"), "--exclude", "decades", "--out", p("without")])
     assert sorted(map(tuple, spark.read.parquet(p("without")).select("of", "without").collect())) == [(c, w) for c in ("jsd", "scaled_jsd") for w in ("excluded", "excluded_then")]
     terms = sorted(r[0] for r in spark.read.parquet(p("index")).select("term").distinct().collect())
-    main(["get-substitutes", "--docs", p("docs"), "--index", p("index"), "--stopwords", p("stop.txt"), "--start", "2", "--allow-single", "--out", p("rest")])
+    main(["get-substitutes", "--docs", p("docs"), "--index", p("index"), "--stopwords", p("stop.txt"), "--start", "2", "--allow-single", "--by-term", p("folders"), "--out", p("rest")])
+    assert spark.read.json(p("folders")).count() == spark.read.parquet(p("rest")).count()
     rest = spark.read.parquet(p("rest"))
     assert sorted(r[0] for r in rest.select("term").distinct().collect()) == terms[2:] and rest.where("term <> surface AND term NOT LIKE '% %'").count() == 0
     main(["index-terms", "--docs", p("docs"), "--targets", p("gold.tsv"), "--beside-targets", "--max-terms", "6", "--out", p("few")])
